@@ -1,11 +1,219 @@
-"""Registered queries of the graph engine."""
+"""Registered queries of the graph engine, each with the DuckDB SQL of the same result."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import paths, text
+from ..model import Graph
+from ..operators import communities, filters, iterative, mutation, ranking, records, relations, search, similarity, stats, usage
+from .views import duck, view
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+
+
+def _joined(column, ordered: bool = True):
+    """Array or map as one string, for comparison."""
+    return F.array_join(F.sort_array(column) if ordered else column, ",")
+
+
+def _map(column):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+def _on(graph: str, build: Callable[[Graph], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(view(spark, sf_dir, graph))
+
+
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def _add(name: str, graph: str, build: Callable[[Graph], DataFrame], sql: str | None = None, recursive: bool = False) -> None:
+    _queries[name] = _on(graph, build)
+    if sql:
+        _oracles[name] = f"with {'recursive ' if recursive else ''}{duck(graph)}, {sql}" if not sql.lstrip().startswith("select") else f"with {duck(graph)} {sql}"
+
+
+# Filters and lookups
+_add("filter_nodes", "trade", lambda g: filters.nodes(g, language="FRANCE", limit=None).select("id", "name", "repo"), "select id, name, repo from nodes where language = 'FRANCE'")
+_add("filter_nodes_limit", "trade", lambda g: filters.nodes(g, kind="class", limit=20).select("id", "ord"), "select id, ord from nodes where kind = 'class' order by ord limit 20")
+_add("node_lookup", "trade", lambda g: filters.api_nodes(filters.node(g, "S:7")).select("id", "name", "type", "file_path", "line_start", "line_end", "in_degree", "is_hot"), "select id, name, kind as type, filepath as file_path, line as line_start, line as line_end, 0 as in_degree, false as is_hot from nodes where id = 'S:7'")
+_add("filter_edges", "trade", lambda g: filters.api_edges(filters.edges(g, source="S:7", relation="calls")).groupBy("source", "target", "type", "weight").agg(F.count(F.lit(1)).alias("n")), "select source, target, relation as type, 1.0 as weight, count(*) as n from edges where source = 'S:7' and relation = 'calls' group by all")
+_add("index_lookup", "trade", lambda g: filters.lookup(g, "filepath", "/parts/Brand#11/list").select("id"), "select id from nodes where filepath = '/parts/Brand#11/list'")
+_add("index_size", "trade", filters.index_size, "select 4 * count(*) as index_size from nodes")
+_add("index_postings", "trade", filters.postings, "p as (select 'repo' as i, repo as v from nodes union all select 'language', language from nodes union all select 'kind', kind from nodes union all select 'filepath', filepath from nodes) select i as index, v as value, count(*) as n_nodes from p group by all")
+_add("induced_subgraph", "custom", lambda g: _subgraph(g), "n as (select id from nodes where repo = 'BUILDING') select (select count(*) from n) as n_nodes, count(*) as n_edges from edges where repo = 'BUILDING' and source in (from n) and target in (from n)")
+_add("induced_edges", "corpus", lambda g: filters.repo_subgraph(g, "src0").edges.select("source", "target", "ord"), "n as (select id from nodes where repo = 'src0') select source, target, ord from edges where repo = 'src0' and source in (from n) and target in (from n)")
+_add("repos", "corpus", filters.repos, "select distinct repo from (select repo from nodes union all select repo from edges) where repo <> ''")
+_add("search_pattern", "corpus", lambda g: filters.pattern_search(g, "src1*_parse?oc_*", 15).select("id", "name", "score"), "select id, name, 1.0 as score from nodes where name glob 'src1*_parse?oc_*' order by length(name) desc, ord limit 15")
+_add("find_symbol", "corpus", lambda g: filters.find_symbol(g, "parseDoc").select("id", "score"), "s as (select id, case when contains(lower(name), 'parsedoc') then 10 else 0 end + case when contains(lower(docstring), 'parsedoc') then 3 else 0 end + case when contains(lower(signature), 'parsedoc') then 2 else 0 end + case when kind = 'function' and contains(lower(name), 'parsedoc') then 5 else 0 end as score from nodes) select * from s where score > 0")
+_add("client_search", "corpus", lambda g: filters.client_search(g, "src2 load_page", 25).select("id", "score"), "s as (select id, ord, " + " + ".join(f"case when contains(lower(name), '{w}') then 10 else 0 end + case when contains(lower(docstring), '{w}') then 3 else 0 end + case when contains(lower(filepath), '{w}') then 1 else 0 end + case when starts_with(lower(name), '{w}') then 5 else 0 end" for w in ("src2", "load", "page")) + " as score from nodes) select id, score from s where score > 0 order by score desc, ord limit 25")
+_add("limit_then_filter", "corpus", lambda g: filters.find_symbol(g, "parse").limit(10).where("language = 'en'").select("id"), "s as (select id, ord, language, case when contains(lower(name), 'parse') then 10 else 0 end + case when contains(lower(docstring), 'parse') then 3 else 0 end + case when contains(lower(signature), 'parse') then 2 else 0 end + case when kind = 'function' and contains(lower(name), 'parse') then 5 else 0 end as score from nodes) select id from (select * from s where score > 0 order by score desc, ord limit 10) where language = 'en'")
+
+
+def _subgraph(g: Graph) -> DataFrame:
+    sub = filters.repo_subgraph(g, "BUILDING")
+    return sub.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(sub.edges.agg(F.count(F.lit(1)).alias("n_edges")))
+
+
+# Joins
+_CROSS = "x as (select e.*, s.repo as source_repo, t.repo as target_repo from edges e join nodes s on e.source = s.id join nodes t on e.target = t.id where s.repo <> '' and t.repo <> '' and s.repo <> t.repo)"
+_IN = "i as (select id, count(*) as n from (select target as id from edges where target in (select id from nodes) union all select n.id from edges e join nodes n on e.target = n.name where e.target not in (select id from nodes)) group by id), c as (select n.*, coalesce(i.n, 0) as incoming, case when (name in ('main', '__init__') and kind = 'function') or (name = '__main__' and kind = 'module') then 'entry' when coalesce(i.n, 0) = 0 then 'dead' when i.n = 1 then 'suspicious' else 'used' end as status from nodes n left join i on n.id = i.id)"
+_add("inner_edges", "corpus", lambda g: g.inner_edges().select("source", "target", "ord"), "select source, target, ord from edges where source in (select id from nodes) and target in (select id from nodes)")
+_add("cross_repo_edges", "nations", lambda g: relations.cross_repo_edges(g).select("ord", "source", "target", "source_repo", "target_repo"), f"{_CROSS} select ord, source, target, source_repo, target_repo from x")
+_add("resolved_targets", "custom", lambda g: relations.resolved_targets(g).select("ord", "source", "node"), "select e.ord, e.source, e.target as node from edges e where e.target in (select id from nodes) union all select e.ord, e.source, n.id from edges e join nodes n on e.target = n.name where e.target not in (select id from nodes)")
+_add("incoming_edges", "custom", relations.incoming, f"{_IN} select id, incoming from c")
+_add("call_names", "corpus", lambda g: relations.call_names(g).select("id", _joined("calls").alias("calls")), "select e.source as id, string_agg(distinct n.name, ',' order by n.name) as calls from edges e join nodes n on e.target = n.id where e.relation = 'calls' group by e.source")
+_add("cross_language", "trade", lambda g: _cross_language(g), "e as (select ord, source, n_name as target from edges join supplier on source = concat('S:', cast(s_suppkey as varchar)) join nation on s_nationkey = n_nationkey), b as (select regexp_replace(filepath, '^.*/', '') as t, id from nodes where language like 'Brand#1%') select case when b.id is null then 'kept' else 'rewritten' end as kind, count(*) as n from (select e.ord, case when ord % 2 = 0 then 'list' else target end as target from e where ord % 1000 = 1 or ord % 1000 = 2) q left join b on q.target = b.t group by all")
+_add("missing_repo_nodes", "web", lambda g: _missing_repos(g), "select distinct target as id, 'repo' as kind from edges where target not in (select id from nodes)")
+
+
+def _cross_language(g: Graph) -> DataFrame:
+    some = g.edges.where("ord % 1000 in (1, 2)")
+    nation = g.nodes.select(F.col("id").alias("source"), F.col("language").alias("_n"))
+    calls = some.join(nation, "source").withColumn("target", F.when(F.col("ord") % 2 == 0, "list").otherwise(F.col("_n"))).withColumn("relation", F.lit("subprocess")).select(g.edges.columns)
+    brands = ("Brand#1", *(f"Brand#1{k}" for k in range(10)))
+    done = relations.resolve_cross_language(Graph(g.nodes, calls), brands, ())
+    return done.edges.groupBy(F.when(F.col("relation") == "subprocess", "kept").otherwise("rewritten").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _missing_repos(g: Graph) -> DataFrame:
+    out = relations.with_repo_nodes(Graph(g.nodes, g.edges.withColumn("relation", F.lit("cross_repo_call"))))
+    return out.nodes.where("kind = 'repo'").select("id", "kind")
+
+
+# Aggregates
+_DEGREE = "l as (select distinct source, target from edges where source in (select id from nodes) and target in (select id from nodes)), d as (select n.id, n.ord, n.name, n.filepath, n.repo, coalesce(i.c, 0) as in_degree, coalesce(o.c, 0) as out_degree from nodes n left join (select target, count(*) as c from l group by target) i on i.target = n.id left join (select source, count(*) as c from l group by source) o on o.source = n.id)"
+_HOT = "select id, rank, cast(score as double) as score, in_degree, out_degree from (select *, row_number() over (order by score desc, ord) as rank from (select *, {w} as score from d)) where rank <= {k}"
+_add("degrees", "trade", ranking.degrees, f"{_DEGREE} select id, in_degree, out_degree from d")
+_add("hotpaths_in_degree", "trade", lambda g: ranking.hot_paths(g).select("id", "rank", "score", "in_degree", "out_degree"), f"{_DEGREE} {_HOT.format(w='in_degree', k=20)}")
+_add("hotpaths_out_degree", "trade", lambda g: ranking.hot_paths(g, 30, "out_degree").select("id", "rank", "score", "in_degree", "out_degree"), f"{_DEGREE} {_HOT.format(w='out_degree', k=30)}")
+_add("hotpaths_resolved_names", "custom", lambda g: ranking.hot_paths(ranking.resolve_names(g), 25).select("id", "rank", "score", "in_degree"), "r as (select source, target from edges where target in (select id from nodes) union select e.source, n.id from edges e join nodes n on e.target = n.name where e.target not in (select id from nodes)), c as (select n.id, n.ord, count(r.source) as in_degree from nodes n left join r on r.target = n.id group by all), k as (select *, row_number() over (order by in_degree desc, ord) as rank from c) select id, rank, cast(in_degree as double) as score, in_degree from k where rank <= 25")
+_add("hotpaths_per_repo", "corpus", lambda g: ranking.hot_paths_per_repo(g).select("repo", "place", "id", "score", "in_degree"), f"{_DEGREE}, h as (select *, row_number() over (order by in_degree desc, ord) as rank from d), p as (select *, row_number() over (partition by repo order by rank) as place from h where rank <= 15) select repo, place, id, cast(in_degree as double) as score, in_degree from p where place <= 5")
+_add("graph_stats", "folders", lambda g: stats.graph_stats(g).select("node_count", "edge_count", _map("languages").alias("languages"), _map("types").alias("types"), "dead_count", "entry_point_count", F.round("coverage", 6).alias("coverage")), f"{_IN} select (select count(*) from nodes) as node_count, (select count(*) from edges) as edge_count, (select string_agg(language || '=' || n, ',' order by language) from (select language, count(*) as n from nodes group by language)) as languages, (select string_agg(kind || '=' || n, ',' order by kind) from (select kind, count(*) as n from nodes group by kind)) as types, count(*) filter (status = 'dead') as dead_count, count(*) filter (status = 'entry') as entry_point_count, round(1.0 - count(*) filter (status = 'dead') / count(*), 6) as coverage from c")
+_add("repo_stats", "custom", lambda g: stats.repo_stats(g).select("repo", "node_count", "edge_count", _map("languages").alias("languages"), _map("types").alias("types"), "entry_points"), "n as (select *, case when repo = '' then 'default' else repo end as r from nodes), l as (select r, string_agg(language || '=' || k, ',' order by language) as languages from (select r, language, count(*) as k from n group by all) group by r), t as (select r, string_agg(kind || '=' || k, ',' order by kind) as types from (select r, kind, count(*) as k from n group by all) group by r), e as (select coalesce(n.r, 'default') as r, count(*) as edge_count from edges left join n on edges.source = n.id group by 1) select n.r as repo, count(*) as node_count, coalesce(any_value(e.edge_count), 0) as edge_count, any_value(languages) as languages, any_value(types) as types, count(*) filter (kind = 'function' and (name in ('main', '__init__') or parent is null)) as entry_points from n join l on l.r = n.r join t on t.r = n.r left join e on e.r = n.r group by n.r")
+_add("cross_repo_matrix", "nations", stats.cross_repo_matrix, f"{_CROSS} select source_repo, target_repo, count(*) as n_edges from x group by all")
+_add("index_summary", "nations", lambda g: stats.index_summary(g).select("nodes", "edges", "cross_repo_edges", "communities"), f"{_CROSS} select (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, (select count(*) from x) as cross_repo_edges, (select count(distinct repo) from nodes) as communities")
+
+# Unused symbols
+_add("deadcode_report", "custom", lambda g: usage.classified(g).select("id", "incoming", "status"), f"{_IN} select id, incoming, status from c")
+_add("deadcode_entry_points", "custom", lambda g: usage.classified(g, ("C:2", "C:3")).where("status = 'entry'").select("id"), "select id from nodes where id in ('C:2', 'C:3') or (name = 'main' and kind = 'function')")
+_add("deadcode_coverage", "custom", lambda g: usage.summary(g, threshold=0.05).withColumn("coverage", F.round("coverage", 6)), f"{_IN} select count(*) as total, count(*) filter (status = 'dead') as dead_count, count(*) filter (status = 'entry') as entry_point_count, count(*) filter (status = 'suspicious') as suspicious_count, round(1.0 - count(*) filter (status = 'dead') / count(*), 6) as coverage, 1.0 - count(*) filter (status = 'dead') / count(*) >= 0.05 as meets_threshold, count(*) filter (status = 'dead') > 0 as has_dead from c")
+_add("deadcode_per_repo", "custom", usage.dead_per_repo, f"{_IN} select case when repo = '' then 'default' else repo end as repo, count(*) as n_dead from c where status = 'dead' group by 1")
+
+# Text
+_SPLIT = "list_filter(list_transform(case when contains({c}, '_') then string_split({c}, '_') else string_split(trim(regexp_replace(regexp_replace(regexp_replace({c}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g')), ' ') end, lambda x: lower(x)), lambda x: x <> '' and not list_contains({stop}, x))".replace("{stop}", _STOP)
+_TOKENS = "list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda x: length(x) > 1 and not list_contains({stop}, x))".replace("{stop}", _STOP)
+_GRAMS = "list_concat({t}, list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]), list_transform(range(1, len({t}) - 1), lambda i: {t}[i] || ' ' || {t}[i + 1] || ' ' || {t}[i + 2]))"
+_add("split_identifiers", "corpus", lambda g: g.nodes.select("id", _joined(text.split_identifier(F.col("name")), False).alias("tokens")), f"select id, array_to_string({_SPLIT.format(c='name')}, ',') as tokens from nodes")
+_add("tokenize", "corpus", lambda g: g.nodes.select("id", F.md5(_joined(text.tokenize(F.col("docstring")), False).cast("binary")).alias("tokens")), f"select id, md5(array_to_string({_TOKENS.format(c='docstring')}, ',')) as tokens from nodes")
+_add("extract_ngrams", "corpus", lambda g: g.nodes.select("id", F.size(text.extract_ngrams(F.col("docstring"))).alias("n"), F.md5(_joined(text.extract_ngrams(F.col("docstring")), False).cast("binary")).alias("grams")), f"t as (select id, {_TOKENS.format(c='docstring')} as t from nodes), g as (select id, {_GRAMS.format(t='t')} as g from t) select id, len(g) as n, md5(array_to_string(g, ',')) as grams from g")
+_INDEX = (
+    f"tok as (select id, {_SPLIT.format(c='name')} as name_t, {_TOKENS.format(c='docstring')} as doc_t, "
+    + _SPLIT.replace("{c}", "replace(replace(signature, ')', ''), '(', ' ')")
+    + f" as sig_t from nodes), callee as (select e.source as id, {_SPLIT.format(c='n.name')} as t from edges e join nodes n on e.target = n.id join nodes s on e.source = s.id where e.relation = 'calls' and n.name <> ''), raw as ("
+    + " union all ".join([f"select id, unnest({_GRAMS.format(t='name_t')}) as ngram, 3.0 as w from tok", f"select id, unnest({_GRAMS.format(t='doc_t')}), 1.5 from tok", f"select id, unnest({_GRAMS.format(t='sig_t')}), 1.0 from tok", f"select id, unnest({_GRAMS.format(t='t')}), 1.0 from callee"])
+    + "), idx as (select id, ngram, cast(sum(w) as double) as weight from raw group by all)"
+)
+_ASKED = "parse load page load"
+_QGRAMS = "q as (select unnest(['parse', 'load', 'page', 'load', 'parse load', 'load page', 'page load', 'parse load page', 'load page load']) as ngram, unnest(range(9)) as place)"
+_BM25 = _INDEX + f", {_QGRAMS}, dl as (select id, count(*) as dl from idx group by id), corpus as (select count(*) as n, avg(dl) as avgdl from dl), df as (select ngram, count(*) as df from idx group by ngram), b as (select idx.id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * weight * 2.5 / (weight + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score, string_agg(q.ngram, ',' order by place) as matched from idx join q on idx.ngram = q.ngram join df on df.ngram = idx.ngram join dl on dl.id = idx.id, corpus group by idx.id)"
+_add("ngram_index", "corpus", lambda g: search.ngram_index(g).groupBy("id").agg(F.count(F.lit(1)).alias("n_ngrams"), F.round(F.sum("weight"), 3).alias("weight")), f"{_INDEX} select id, count(*) as n_ngrams, round(sum(weight), 3) as weight from idx group by id")
+_add("bm25_corpus_stats", "corpus", lambda g: _corpus_stats(g), f"{_INDEX}, dl as (select id, count(*) as n from idx group by id) select count(*) as n_docs, round(avg(n), 6) as avg_len, (select count(distinct ngram) from idx) as n_ngrams from dl")
+_add("search_bm25", "corpus", lambda g: search.search(g, _ASKED, 20).select("id", F.round("score", 6).alias("score"), _joined("matched", False).alias("matched")), f"{_BM25} select b.id, round(score, 6) as score, matched from b join nodes on b.id = nodes.id where score > 0 order by b.score desc, nodes.ord limit 20")
+_add("search_bm25_all", "corpus", lambda g: search.bm25(g, _ASKED).select("id", F.round("score", 6).alias("score")), f"{_BM25} select id, round(score, 6) as score from b where score > 0")
+_SNIP_DOC = "string_split(regexp_replace(docstring, '^\\s+|\\s+$', '', 'g'), chr(10))[1]"
+_add("snippets", "corpus", lambda g: g.nodes.select("id", text.snippet().alias("snippet")), f"select id, signature || ' | ' || case when length({_SNIP_DOC}) > 150 then substring({_SNIP_DOC}, 1, 147) || '...' else {_SNIP_DOC} end as snippet from nodes")
+_add("parent_dirs", "web", lambda g: g.nodes.select("id", paths.parent_dir(F.regexp_replace("filepath", "^https?:/", "")).alias("dir"), paths.file_stem(F.regexp_replace("filepath", "[?#].*$", "")).alias("stem")), "p as (select id, regexp_replace(regexp_replace(filepath, '^https?:/', ''), '(.)/$', '\\1') as p, regexp_replace(regexp_replace(filepath, '[?#].*$', ''), '/+$', '') as f from nodes) select id, regexp_extract(p, '^(.*)/[^/]*$', 1) as dir, regexp_replace(regexp_extract(f, '([^/]*)$', 1), '^(.+)\\.[^.]+$', '\\1') as stem from p")
+
+
+def _corpus_stats(g: Graph) -> DataFrame:
+    index = search.ngram_index(g)
+    lengths = index.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("avg_len"))
+    return lengths.crossJoin(index.select("ngram").distinct().agg(F.count(F.lit(1)).alias("n_ngrams")))
+
+
+# Similarity
+_COUNT = "cast((length({t}) - length(replace({t}, '{w}', ''))) / {n} as int)"
+_CF = "[" + ", ".join(_COUNT.format(t="low", w=w, n=len(w)) for w in text.CONTROL_WORDS) + ", length(signature) - length(replace(signature, '(', '')) + length(signature) - length(replace(signature, '[', ''))]"
+_TY = "[" + ", ".join(_COUNT.format(t="lower(signature)", w=w, n=len(w)) for w in text.TYPE_WORDS) + "]"
+_FEATURES = f"c as (select e.source as id, list(distinct n.name) as calls from edges e join nodes n on e.target = n.id where e.relation = 'calls' group by e.source), f as (select n.ord, n.id, n.kind, n.language, coalesce(c.calls, []) as calls, {_CF} as cf, {_TY} as ty from (select *, lower(signature || ' ' || docstring) as low from nodes) n left join c on c.id = n.id)"
+_COS = "case when list_dot_product({a}, {a}) = 0 or list_dot_product({b}, {b}) = 0 then 0.0 else list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) end".replace("{a}", "cast({a} as double[])").replace("{b}", "cast({b} as double[])")
+_JAC = "case when len(list_distinct(list_concat(t.calls, f.calls))) = 0 then 1.0 else len(list_intersect(t.calls, f.calls)) / len(list_distinct(list_concat(t.calls, f.calls))) end"
+_PAIR = "from f, t where f.id <> t.id and (f.kind = t.kind or f.language = t.language)"
+_C1, _C2 = _COS.format(a="t.cf", b="f.cf"), _COS.format(a="t.ty", b="f.ty")
+_AST = f"0.4 * {_JAC} + 0.2 * {_C1} + 0.2 * {_C2} + case when f.kind = t.kind then 0.1 else 0 end + case when f.language = t.language then 0.1 else 0 end"
+for _m, _s in (("jaccard", _JAC), ("cosine", f"({_C1} + {_C2}) / 2"), ("ast", _AST)):
+    # Rounded before ranking on both sides, as the last bits of the sums differ.
+    _add(f"similar_{_m}", "corpus", lambda g, m=_m: _similar_all(g, m), f"{_FEATURES}, t as (select * from f where id = 'D:10') select f.id, round({_s}, 6) as score {_PAIR} and {_s} > 0")
+_add("features", "corpus", lambda g: similarity.features(g).select("id", _joined("calls").alias("calls"), F.array_join("control_flow", ",").alias("control_flow"), F.array_join("types", ",").alias("types")), f"{_FEATURES} select id, array_to_string(list_sort(calls), ',') as calls, array_to_string(cf, ',') as control_flow, array_to_string(ty, ',') as types from f")
+_add("min_max", "trade", lambda g: stats.min_max(ranking.degrees(g), "in_degree", "scaled").select("id", F.round("scaled", 6).alias("scaled")), f"{_DEGREE} select id, round((in_degree - min(in_degree) over ()) / (max(in_degree) over () - min(in_degree) over ()), 6) as scaled from d")
+_add("hybrid_half", "corpus", lambda g: search.hybrid_search(g, _ASKED, 10).select("id", F.round("score", 5).alias("score"), F.round("ngram_score", 5).alias("ngram_score"), F.round("sim_score", 5).alias("sim_score")), f"{_BM25}, {_FEATURES}, top as (select b.id, b.score, nodes.ord from b join nodes on nodes.id = b.id order by score desc, ord limit 20), t as (select f.* from f join top on f.id = top.id order by top.score desc, top.ord limit 1), sim as (select f.id, {_AST} as score, f.ord {_PAIR} order by 2 desc, 3 limit 20), a as (select id, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as s from top), z as (select id, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as s from sim), both as (select coalesce(a.id, z.id) as id, coalesce(a.s, 0) as ngram_score, coalesce(z.s, 0) as sim_score from a full join z on a.id = z.id) select id, round(0.5 * ngram_score + 0.5 * sim_score, 5) as score, round(ngram_score, 5) as ngram_score, round(sim_score, 5) as sim_score from (select both.*, ord from both join nodes using (id) order by 0.5 * ngram_score + 0.5 * sim_score desc, ord limit 10) where 0.5 * ngram_score + 0.5 * sim_score > 0")
+
+
+def _similar_all(g: Graph, method: str) -> DataFrame:
+    return similarity.find_similar(g, "D:10", 1 << 30, method).select("id", F.round("score", 6).alias("score"))
+
+
+# Iterative algorithms
+_add("reachable", "corpus", lambda g: iterative.reachable(g, "D:999").select("id"), "r as (select 'D:999' as id union select edges.target from r join edges on edges.source = r.id) select id from r join nodes using (id) where id <> 'D:999'", True)
+_add("reachable_cycle", "events", lambda g: iterative.reachable(g, "click").select("id"), "r as (select 'click' as id union select edges.target from r join edges on edges.source = r.id) select id from r join nodes using (id) where id <> 'click'", True)
+_ROUNDS = 20
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = ["l as materialized (select distinct source, target from edges where source in (select id from nodes) and target in (select id from nodes)), o as materialized (select n.id, count(l.target) as out from nodes n left join l on l.source = n.id group by n.id), k as materialized (select count(*) as n from nodes)", "r0 as materialized (select id, out, 1.0::double / n as s from o, k)"]
+    for i in range(rounds):
+        parts.append(f"r{i + 1} as materialized (select r.id, r.out, 0.85 * coalesce(g.s, 0) + (0.15 + 0.85 * (select coalesce(sum(s), 0) from r{i} where out = 0)) / n as s from r{i} r left join (select l.target, sum(r{i}.s / r{i}.out) as s from l join r{i} on r{i}.id = l.source group by l.target) g on g.target = r.id, k)")
+    return ", ".join(parts)
+
+
+_add("pagerank_20", "trade", lambda g: iterative.pagerank(g, fixed=_ROUNDS).select("id", F.round("score", 9).alias("score")), f"{_pagerank_sql(_ROUNDS)} select id, round(s, 9) as score from r{_ROUNDS}")
+_add("pagerank_cyclic", "events", lambda g: iterative.pagerank(g, fixed=_ROUNDS).select("id", F.round("score", 9).alias("score")), f"{_pagerank_sql(_ROUNDS)} select id, round(s, 9) as score from r{_ROUNDS}")
+_add("hotpaths_pagerank", "corpus", lambda g: ranking.hot_paths(g, 20, "pagerank").select("id", "rank", F.round("score", 9).alias("score")))
+_add("betweenness", "nations", lambda g: iterative.betweenness(Graph(g.nodes, g.edges.where("ord % 7 = 0 and cast(substr(source, 3) as int) % 5 = cast(substr(target, 3) as int) % 4"))).select("id", F.round("score", 9).alias("score")))
+_add("hotpaths_betweenness", "events", lambda g: ranking.hot_paths(g, 5, "betweenness").select("id", "rank", F.round("score", 9).alias("score")))
+_add("repo_cycles", "nations", lambda g: records.repo_cycles(g).select(_joined("cycle", False).alias("cycle")), f"{_CROSS}, p as (select distinct source_repo as s, target_repo as t from x), w as (select [s, t] as path from p where s < t union all select list_append(w.path, p.t) from w join p on p.s = w.path[-1] where len(w.path) <= 8 and p.t > w.path[1] and not list_contains(w.path, p.t)) select array_to_string(list_append(path, path[1]), ',') as cycle from w join p on p.s = path[-1] and p.t = path[1] where len(path) <= 8", True)
+
+# Communities
+_MERGE = "k as (select distinct {by} regexp_extract(filepath, '^(.*)/[^/]*$', 1) as dir from nodes), m as (select distinct {iby} regexp_extract(e.source, '^(.*)/[^/]*$', 1) as dir, e.target from edges e {join} where e.relation = 'imports'), p as (select distinct {aby} a.dir as d1, b.dir as d2 from m a join m b on a.target = b.target {on} join k ka on ka.dir = a.dir {ka} join k kb on kb.dir = b.dir {kb}), r as (select {kby} dir, dir as root from k union select {pby} r.dir, p.d2 from r join p on p.d1 = r.root {rp}), lab as (select {by} dir, min(root) as community from r group by {by} dir)"
+_PLAIN = _MERGE.format(by="", iby="", join="", aby="", on="", ka="", kb="", kby="", pby="", rp="")
+_LANG = _MERGE.format(by="language,", iby="s.language,", join="join nodes s on e.source = s.id join nodes t on e.target = t.id and s.language = t.language", aby="a.language,", on="and a.language = b.language", ka="and ka.language = a.language", kb="and kb.language = b.language", kby="language,", pby="r.language,", rp="and p.language = r.language")
+_NAMED = "n as (select nodes.*, community from nodes join lab on lab.dir = regexp_extract(filepath, '^(.*)/[^/]*$', 1) {l})"
+_DESCRIBED = "select {sel} count(*) as size, case when count(distinct n.language) > 1 then 'mixed' else min(n.language) end as dominant_language, round(coalesce((select count(*) from edges e join n a on e.source = a.id join n b on e.target = b.id where a.community = n.community and b.community = n.community {same}), 0) / case when count(*) > 1 then count(*) * (count(*) - 1) else 1 end, 6) as density, arg_min(name, ord) as top_node from n group by {grp} n.community"
+_add("communities_labels", "folders", communities.labels, f"{_PLAIN}, {_NAMED.format(l='')} select id, community from n", True)
+_add("communities_mixed", "folders", lambda g: communities.communities(g, mixed=True).select("community", "size", "dominant_language", F.round("density", 6).alias("density"), "top_node"), f"{_PLAIN}, {_NAMED.format(l='')} {_DESCRIBED.format(sel='n.community,', same='', grp='')}", True)
+_add("communities_language_labels", "folders", communities.language_labels, f"{_LANG}, {_NAMED.format(l='and lab.language = nodes.language')} select language, id, community from n", True)
+_add("communities_language", "folders", lambda g: communities.communities(g).select("language", "community", "size", "dominant_language", F.round("density", 6).alias("density"), "top_node"), f"{_LANG}, {_NAMED.format(l='and lab.language = nodes.language')} {_DESCRIBED.format(sel='n.language, n.community,', same='and a.language = n.language and b.language = n.language', grp='n.language,')}", True)
+_add("communities_numbered", "folders", lambda g: communities.communities(g, mixed=True).select("number", "community", F.array_join("top_ids", ",").alias("top_ids")), f"{_PLAIN}, {_NAMED.format(l='')} select row_number() over (order by min(ord)) as number, community, array_to_string(list(id order by ord)[1:5], ',') as top_ids from n group by community", True)
+
+# Mutation and records
+_add("remove_files", "corpus", lambda g: _removed(g), "gone as (select id from nodes where filepath like '/src1/%') select (select count(*) from nodes where id not in (from gone)) as n_nodes, count(*) as n_edges from edges where source not in (from gone) and target not in (from gone)")
+_add("upsert_files", "corpus", lambda g: _upserted(g), "old as (select id from nodes where filepath = '/src1/en/doc') select id, case when id in (from old) then 'new' else 'old' end as state from nodes")
+_add("duplicate_ids", "corpus", lambda g: Graph.of(g.nodes.unionByName(g.nodes.where("ord % 3 = 0").withColumn("ord", F.col("ord") + 1000000000).withColumn("docstring", F.lit("again"))), g.edges).nodes.select("id", "ord", F.md5(F.col("docstring").cast("binary")).alias("doc")), "select id, ord, md5(case when ord % 3 = 0 then 'again' else docstring end) as doc from nodes")
+_add("decision_records", "nations", lambda g: records.decision_records(g, F.lit("2024-01-01"), 3).where("rule = 1").select("id", "title", "status", "date", "decision", "context"), f"{_CROSS}, r as (select source_repo as r, count(*) as n, list_sort(list(distinct target_repo)) as t, min(ord) as first from x group by 1) select printf('ADR-%03d', row_number() over (order by first)) as id, 'Calls from ' || r || ' into other repositories' as title, 'proposed' as status, '2024-01-01' as date, r || ' depends at run time on ' || len(t) || ' repositories: ' || array_to_string(t, ', ') as decision, n || ' edges lead from ' || r || ' to other repositories, which couples them.' as context from r")
+
+
+def _removed(g: Graph) -> DataFrame:
+    left = mutation.without_files(g, g.nodes.where(F.startswith("filepath", F.lit("/src1/"))).select("filepath"))
+    return left.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(left.edges.agg(F.count(F.lit(1)).alias("n_edges")))
+
+
+def _upserted(g: Graph) -> DataFrame:
+    files = g.nodes.where("filepath = '/src1/en/doc'")
+    new = mutation.upsert_files(g, files.select("filepath"), files.withColumn("docstring", F.lit("new")), g.edges.limit(0))
+    return new.nodes.select("id", F.when(F.col("docstring") == "new", "new").otherwise("old").alias("state"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
