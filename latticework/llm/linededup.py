@@ -1,31 +1,52 @@
 """Fuzzy line dedup.
 
 Lines are normalised (lower case, digits to 0, punctuation to spaces, spaces
-collapsed).  Equal lines are collapsed; the distinct ones get a 128-bit SimHash
-of their words, lines within `RADIUS` bits share a pigeonhole block (of
-RADIUS + 1) and are joined on it, and the edit similarity of the normalised
-lines, 1 - distance / longer length, decides.  One occurrence of each connected
-group stays: the one in the lowest doc_id, then content hash, then line number.
-Lines of fewer than `MIN_WORDS` words or `MIN_CHARS` characters are left alone.
+collapsed) and equal ones collapsed.  A line's features are its words, those of
+up to `SHORT` bytes together with the word after them.  Its SimHash comes in
+blocks: the features are dealt to blocks by their hashes, and each block is the
+SimHash of its own features.  A changed word then disturbs two blocks at most,
+the one that it leaves and the one that it enters, and by the pigeonhole
+principle lines that differ in k features still share one of 2 k + 1 blocks.
+(Blocks cut from one SimHash over all words don't serve here: one word of
+twenty turns a tenth of its bits.)  A block has `PER_BLOCK` features or more; a
+line close to the border between two numbers of blocks is entered under both.
+Lines of few features are entered under all of them and all but each one.
+
+Lines that share a block and differ in at most `RADIUS` bits of the SimHash of
+all features are candidates, and the edit similarity of the normalised lines,
+1 - distance / longer length, decides.  The lines of a block are first held
+against one of their number; what that doesn't connect is compared pair by
+pair, so that large groups cost little and no pair that matters is left out.
+One occurrence of each connected group stays: the one in the lowest doc_id,
+then content hash, then line number.  Lines of fewer than `MIN_CHARS`
+characters, or of fewer than `MIN_WORDS` words and `LONG` characters, are left
+alone.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import components, maybe_broadcast, stored
-from .simhash import _widths, distance, hash_texts, segment
+from .common import components, drop_stored, maybe_broadcast, stored
 
-RADIUS = 5
+RADIUS = 16
 SIMILARITY = 0.9
 MIN_WORDS = 5
 MIN_CHARS = 20
+LONG = 40
+SHORT = 4
+PER_BLOCK = 2.2
+#: Lines of fewer features are entered under all and all but one of them.
+FEW = 9
+#: Numbers of blocks, and the share of its features that a similar line may lack.
+LEVELS = np.unique((4 * 1.33 ** np.arange(60)).astype(np.int64))
+SHARE = 0.87
+_U = np.uint64
 
 
 def normalised(line: Column) -> Column:
@@ -35,7 +56,58 @@ def normalised(line: Column) -> Column:
 
 
 def _long_enough(norm: Column) -> Column:
-    return (F.char_length(norm) >= MIN_CHARS) & (F.char_length(norm) - F.char_length(F.translate(norm, " ", "")) >= MIN_WORDS - 1)
+    words = F.char_length(norm) - F.char_length(F.translate(norm, " ", "")) + 1
+    return (F.char_length(norm) >= MIN_CHARS) & ((words >= MIN_WORDS) | (F.char_length(norm) >= LONG))
+
+
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the features, first of each row and the end)."""
+    data, offsets = tv.buffers(texts)
+    starts, ends, first = tv.words(data, offsets)
+    closes = ends - starts > SHORT
+    closes[first[1:][np.diff(first) > 0] - 1] = True
+    opens = np.concatenate(([True], closes[:-1]))[: len(closes)]
+    hashes = tv.span_hash(tv.prefix(data), starts[opens], ends[closes])
+    return hashes, np.concatenate(([0], np.cumsum(closes)))[first]
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    """Number of blocks for n features; 0 below FEW."""
+    return np.where(n < FEW, 0, LEVELS[np.maximum(np.searchsorted(LEVELS * PER_BLOCK, n, side="right") - 1, 0)])
+
+
+def block_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(SimHash of each line, keys of all lines' blocks, first key of each line and the end)."""
+    hashes, first = _features(texts)
+    size = np.diff(first)
+    rows = len(size)
+    row = np.repeat(np.arange(rows), size)
+    keys, owners = [], []
+    high, low = _levels(size), _levels(np.floor(size * SHARE))
+    for blocks, use in ((high, high > 0), (low, (low > 0) & (low != high))):
+        mine = use[row]
+        f, r = hashes[mine], row[mine]
+        if not len(f):
+            continue
+        block = (tv.mix(f, 2) % blocks[r].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((block, r))
+        f, r, block = f[order], r[order], block[order]
+        begin = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (block[1:] != block[:-1]))))
+        value = tv.simhash(f, np.append(begin, len(f)))
+        keys.append(tv.mix(value ^ tv.mix((blocks[r[begin]] << 24 | block[begin]).astype(np.uint64), 3)))
+        owners.append(r[begin])
+    few = ((high == 0) | (low == 0)) & (size > 0)
+    part = tv.mix(hashes, 4)
+    total = np.concatenate(([_U(0)], np.cumsum(part, dtype=np.uint64)))
+    total = total[first[1:]] - total[first[:-1]]
+    keys.append(tv.mix(total[few], 5))
+    owners.append(np.flatnonzero(few))
+    but_one = (few & (size > 1))[row]
+    keys.append(tv.mix(total[row[but_one]] - part[but_one], 5))
+    owners.append(row[but_one])
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return tv.simhash(hashes, first), keys[order], np.searchsorted(owners[order], np.arange(rows + 1))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -43,69 +115,115 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(k_doc, k_text, line_no, h1, h2, hi, lo): each line that is long enough, with hash and SimHash of its normalised form."""
-    lines = _rows(docs).select("k_doc", "k_text", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("k_doc", "k_text", "line_no", normalised(F.col("line")).alias("text")).where(_long_enough(F.col("text")))
+    """(k_doc, k_text, line_no, h1, h2, sig, blocks): each line that is long enough, with hashes, SimHash and blocks of its normalised form.
+
+    A task gives a line's blocks where it meets the line first, null elsewhere.
+    """
+    # The normal form is an element of the exploded array: as a column it would be computed again for each use.
+    lines = _rows(docs).select("k_doc", "k_text", F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("line_no", "text")).where(_long_enough(F.col("text")))
     lines = lines.select("k_doc", "k_text", "line_no", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "text")
 
     def run(batches):
+        met: set[int] = set()
         for batch in batches:
             for part in tv.slices(batch, "text"):
-                hi, lo, _ = hash_texts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], ["k_doc", "k_text", "line_no", "h1", "h2", "hi", "lo"])
-
-    return lines.mapInArrow(run, "k_doc long, k_text long, line_no int, h1 long, h2 int, hi long, lo long")
-
-
-def near_lines(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs of distinct lines within `radius` bits: (a_h1, a_h2, b_h1, b_h2), each once; lines: (h1, h2, hi, lo)."""
-    blocks = radius + 1
-    widths = _widths(128, blocks)
-    starts = list(itertools.accumulate([0, *widths[:-1]]))
-    values = [segment(F.col("hi"), F.col("lo"), s, w) for s, w in zip(starts, widths)]
-    entry = lines.select("h1", "h2", "hi", "lo", F.posexplode(F.array(*values)).alias("block", "value"))
-    a, b = entry.alias("a"), entry.alias("b")
-    ordered = (F.col("a.h1") < F.col("b.h1")) | ((F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") < F.col("b.h2")))
-    equal = [segment(F.col("a.hi"), F.col("a.lo"), s, w) == segment(F.col("b.hi"), F.col("b.lo"), s, w) for s, w in zip(starts, widths)]
-    first = F.coalesce(*[F.when(equal[k], F.lit(k)) for k in range(blocks)])
-    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & ordered & (distance("a", "b") <= radius))
-    return joined.where(first == F.col("a.block")).select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("h1", "h2")])
-
-
-def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (h1, h2, k_doc, k_text, line_no) -> (h1, h2, norm), the lines being read again from their documents."""
-    by_doc = stored(wanted.groupBy("k_doc", "k_text").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("lines")), "wanted")
+                fresh = np.zeros(len(part), dtype=bool)
+                values, at = np.unique(part.column("h1").to_numpy(), return_index=True)
+                new = [k for k, v in zip(at.tolist(), values.tolist()) if v not in met]
+                met.update(values.tolist())
+                fresh[new] = True
+                sig, keys, first = block_keys(part.column("text"))
+                keep = np.repeat(fresh, np.diff(first))
+                sizes = np.where(fresh, np.diff(first), 0)
+                blocks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(keys[keep].view(np.int64)), mask=pa.array(~fresh))
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sig.view(np.int64)), blocks], ["k_doc", "k_text", "line_no", "h1", "h2", "sig", "blocks"])
+
+    return lines.mapInArrow(run, "k_doc long, k_text long, line_no int, h1 long, h2 int, sig long, blocks array<long>")
+
+
+def _node() -> Column:
+    return F.xxhash64("h1", "h2")
+
+
+def _shared_blocks(seen: DataFrame) -> DataFrame:
+    """(key, node, sig, leader, leader_sig) of the blocks that several lines have; the leader is the lowest of them."""
+    entries = seen.where("blocks is not null").select(F.explode("blocks").alias("key"), _node().alias("node"), "sig")
+    whole = Window.partitionBy("key")
+    first = whole.orderBy("node")
+    entries = entries.withColumns({"leader": F.first("node").over(first), "leader_sig": F.first("sig").over(first)}).withColumn("last", F.max("node").over(whole.orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return entries.where("leader <> last").drop("last")
+
+
+def _bits(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """nodes (node) -> (node, norm), the lines being read again from their documents."""
+    wanted = lines.join(maybe_broadcast(nodes, n, 16), "node", "left_semi").select("node", "place.k_doc", "place.k_text", "place.line_no")
+    by_doc = stored(wanted.groupBy("k_doc", "k_text").agg(F.collect_list(F.struct("line_no", "node")).alias("lines")), "wanted")
     size = by_doc.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("m")).first()
     small = maybe_broadcast(by_doc.withColumnsRenamed({"k_doc": "w_doc", "k_text": "w_text"}), 1, 64 * size["n"] + 24 * size["m"])
     rows = _rows(docs).join(small, (F.col("k_text") == F.col("w_text")) & F.col("k_doc").eqNullSafe(F.col("w_doc")))
     rows = rows.select(F.split("text", "\n").alias("parts"), F.explode("lines").alias("w"))
-    return rows.select("w.h1", "w.h2", normalised(F.get("parts", F.col("w.line_no"))).alias("norm")).dropDuplicates(["h1", "h2"])
+    return rows.select("w.node", normalised(F.get("parts", F.col("w.line_no"))).alias("norm")).dropDuplicates(["node"])
+
+
+def within(a: Column, b: Column, allowed: Column) -> Column:
+    """Whether the edit distance is at most `allowed`; the narrow band that the threshold leaves keeps long lines cheap."""
+    found = F.levenshtein(a, b)
+    for most in (4096, 1024, 256, 64, 16):
+        found = F.when(allowed <= most, F.levenshtein(a, b, most)).otherwise(found)
+    return (found >= 0) & (found <= allowed)
+
+
+def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough."""
+    n = pairs.count()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    text = stored(_texts(docs, lines, ends, 2 * n), "line-texts")
+    near = pairs.join(text.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
+    x, y = F.col("x"), F.col("y")
+    allowed = F.floor(F.greatest(F.char_length(x), F.char_length(y)) * (1 - similarity) + 1e-9).cast("int")
+    near = near.where(F.abs(F.char_length(x) - F.char_length(y)) <= allowed).where(within(x, y, allowed))
+    out = stored(near.select("a", "b"), "near-lines")
+    drop_stored(text)
+    return out
+
+
+def linked_lines(docs: DataFrame, seen: DataFrame, lines: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(node, component) of the distinct lines that have a similar one."""
+    shared = stored(_shared_blocks(seen), "shared-blocks")
+    first = stored(shared.where((F.col("node") != F.col("leader")) & (_bits("sig", "leader_sig") <= radius)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "line-pairs")
+    edges = _verified(docs, lines, first, similarity)
+    linked = stored(components(edges), "line-groups")
+    # What is connected already need not be compared any more.
+    label = F.coalesce("component", "node").alias("label")
+    rest = shared.select("key", "node", "sig").join(maybe_broadcast(linked, linked.count(), 40), "node", "left").select("key", "node", "sig", label)
+    whole = Window.partitionBy("key")
+    rest = rest.withColumns({"low": F.min("label").over(whole), "high": F.max("label").over(whole)}).where("low <> high").select("key", "node", "sig", "label").distinct()
+    rest = stored(rest, "open-blocks")
+    x, y = (rest.select("key", *[F.col(c).alias(f"{t}_{c}") for c in ("node", "sig", "label")]) for t in "xy")
+    both = x.join(y, "key").where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & (_bits("x_sig", "y_sig") <= radius))
+    second = both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = _verified(docs, lines, stored(second, "line-pairs"), similarity)
+    drop_stored(shared)
+    return linked if more.isEmpty() else stored(components(edges.unionByName(more)), "line-groups")
 
 
-def _removed(docs: DataFrame, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(all occurrences with their group, the kept occurrence of each group)."""
-    seen = stored(occurrences(docs).distinct(), "lines")
+def _removed(docs: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """All occurrences of lines that occur more than once, exactly or nearly, with the kept occurrence of their group."""
+    seen = stored(occurrences(docs), "lines")
+    occurrence = seen.select("k_doc", "k_text", "line_no", "h1", "h2").distinct()
     place = F.struct(F.col("k_doc").isNull().alias("none"), "k_doc", "k_text", "line_no")
-    lines = stored(seen.groupBy("h1", "h2").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
-    close = stored(near_lines(lines, radius), "near-lines")
-    ends = close.select(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2")).unionByName(close.select(F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"))).distinct()
-    wanted = lines.join(maybe_broadcast(ends, 2 * close.count(), 24), ["h1", "h2"]).select("h1", "h2", "place.k_doc", "place.k_text", "place.line_no")
-    text = stored(_with_text(docs, wanted), "line-texts")
-    a, b = (text.select(F.col("h1").alias(f"{t}_h1"), F.col("h2").alias(f"{t}_h2"), F.col("norm").alias(t)) for t in "ab")
-    longer = F.greatest(F.char_length("a"), F.char_length("b"))
-    allowed = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    close = close.join(a, ["a_h1", "a_h2"]).join(b, ["b_h1", "b_h2"]).where(F.abs(F.char_length("a") - F.char_length("b")) <= allowed)
-    # levenshtein(a, b, t) is -1 beyond t; the threshold has to be a constant, so the full distance is compared.
-    close = close.where(F.levenshtein("a", "b") <= allowed)
-    node = {t: F.xxhash64(f"{t}_h1", f"{t}_h2").alias(t) for t in "ab"}
-    linked = stored(components(close.select(node["a"], node["b"])), "line-groups")
-    named = lines.withColumn("node", F.xxhash64("h1", "h2")).join(maybe_broadcast(linked, linked.count(), 40), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    lines = stored(occurrence.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).withColumn("node", _node()), "distinct-lines")
+    linked = linked_lines(docs, seen, lines, radius, similarity)
+    named = lines.join(maybe_broadcast(linked, linked.count(), 40), "node", "left").withColumn("group", F.coalesce("component", "node"))
     # Lines that occur once and are near no other stay; they need no join.
     named = named.where("n > 1 or component is not null")
     kept = named.groupBy("group").agg(F.min("place").alias("kept"), F.sum("n").alias("n_lines"))
-    named = stored(named.join(kept, "group").select("h1", "h2", "group", "kept", "n_lines"), "line-decisions")
-    marked = seen.join(named, ["h1", "h2"]).withColumn("is_kept", place == F.col("kept"))
-    return marked, named
+    named = stored(named.select("h1", "h2", "group").join(kept, "group"), "line-decisions")
+    return occurrence.join(named, ["h1", "h2"]).withColumn("is_kept", place == F.col("kept"))
 
 
 def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -113,9 +231,10 @@ def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
 
     line_no counts from 0.  Rows equal in id and text count as one document.
     Null and empty texts have no lines; rows with a null id take part, their
-    doc_id is null.  Only doc_id and text are read.
+    doc_id is null.  Only doc_id and text are read.  Near matching goes by
+    words; lines of scripts without spaces match if they are equal.
     """
-    marked, _ = _removed(docs, radius, similarity)
+    marked = _removed(docs, radius, similarity)
     return marked.select(F.col("k_doc").alias("doc_id"), "line_no", F.col("kept.k_doc").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), "n_lines", F.col("is_kept").alias("keep"))
 
 
@@ -126,7 +245,7 @@ def drop_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     were so before.  Rows with a null text are unchanged; rows equal in id and
     text lose the same lines.
     """
-    marked, _ = _removed(docs, radius, similarity)
+    marked = _removed(docs, radius, similarity)
     gone = stored(marked.where("not is_kept").groupBy(F.col("k_doc").alias("__doc"), F.col("k_text").alias("__text")).agg(F.collect_list("line_no").alias("__gone")), "gone-lines")
     size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("m")).first()
     gone = maybe_broadcast(gone, 1, 64 * size["n"] + 8 * size["m"])
