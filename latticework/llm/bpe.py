@@ -70,11 +70,7 @@ class Codec:
             pair = data[:-1].astype(np.uint16) << np.uint16(8)
             pair |= data[1:]
             first[1:] = self.cut[pair]
-            # The white space that isn't ASCII ends in a byte >= 0x80; no cut follows it.
-            for at in np.flatnonzero((data[:-1] == 0xC2) | (data[:-1] == 0xE1) | (data[:-1] == 0xE2) | (data[:-1] == 0xE3)):
-                width = 2 if data[at] == 0xC2 else 3
-                if at + width < len(data) and first[at + width] and data[at : at + width].tobytes().decode(errors="replace").isspace():
-                    first[at + width] = False
+            first[1:][_ends_wide_space(data)[:-1]] = False
         first[offsets[:-1][offsets[:-1] < len(data)]] = True
         return np.flatnonzero(first)
 
@@ -147,6 +143,19 @@ class Codec:
         return self.token_bytes[at], ends[offsets]
 
 
+def _ends_wide_space(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is the last of a white-space character outside ASCII: U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000."""
+    ends = np.zeros(len(data), dtype=bool)
+    for lead, middle, last in ((0xC2, None, (0x85, 0xA0)), (0xE1, 0x9A, (0x80,)), (0xE2, 0x80, (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, 0x81, (0x9F,)), (0xE3, 0x80, (0x80,))):
+        at = np.flatnonzero(data == lead) + (1 if middle is None else 2)
+        at = at[at < len(data)]
+        good = np.isin(data[at], last)
+        if middle is not None:
+            good &= data[at - 1] == middle
+        ends[at[good]] = True
+    return ends
+
+
 def _whole(token: bytes) -> bool:
     try:
         token.decode()
