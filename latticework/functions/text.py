@@ -34,14 +34,14 @@ def tokenize(text: Column) -> Column:
     return _kept(F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), F.array().cast("array<string>")), 2)
 
 
+def _runs(tokens: Column, n: int) -> Column:
+    joined = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(tokens: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     """All runs of the given lengths, repeats included, shorter lengths first."""
-    none = F.array().cast("array<string>")
-    runs = []
-    for n in sizes:
-        joined = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
-        runs.append(F.when(F.size(tokens) >= n, joined).otherwise(none))
-    return F.concat(*runs)
+    return F.concat(*[_runs(tokens, n) for n in sizes])
 
 
 def extract_ngrams(text: Column, max_n: int = 3) -> Column:

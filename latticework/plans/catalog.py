@@ -70,16 +70,14 @@ _add("cross_repo_edges", "nations", lambda g: relations.cross_repo_edges(g).sele
 _add("resolved_targets", "custom", lambda g: relations.resolved_targets(g).select("ord", "source", "node"), "select e.ord, e.source, e.target as node from edges e where e.target in (select id from nodes) union all select e.ord, e.source, n.id from edges e join nodes n on e.target = n.name where e.target not in (select id from nodes)")
 _add("incoming_edges", "custom", relations.incoming, f"{_IN} select id, incoming from c")
 _add("call_names", "corpus", lambda g: relations.call_names(g).select("id", _joined("calls").alias("calls")), "select e.source as id, string_agg(distinct n.name, ',' order by n.name) as calls from edges e join nodes n on e.target = n.id where e.relation = 'calls' group by e.source")
-_add("cross_language", "trade", lambda g: _cross_language(g), "e as (select ord, source, n_name as target from edges join supplier on source = concat('S:', cast(s_suppkey as varchar)) join nation on s_nationkey = n_nationkey), b as (select regexp_replace(filepath, '^.*/', '') as t, id from nodes where language like 'Brand#1%') select case when b.id is null then 'kept' else 'rewritten' end as kind, count(*) as n from (select e.ord, case when ord % 2 = 0 then 'list' else target end as target from e where ord % 1000 = 1 or ord % 1000 = 2) q left join b on q.target = b.t group by all")
+_STEM = "regexp_replace(regexp_extract(regexp_replace({c}, '/+$', ''), '([^/]*)$', 1), '^(.+)\\.[^.]+$', '\\1')"
+_add("cross_language", "web", lambda g: _cross_language(g), f"e as (select {_STEM.format(c='target')} as t from edges), b as (select {_STEM.format(c='filepath')} as t, id from nodes) select case when b.id is null then 'kept' else 'rewritten' end as kind, count(*) as n from e left join b using (t) group by 1")
 _add("missing_repo_nodes", "web", lambda g: _missing_repos(g), "select distinct target as id, 'repo' as kind from edges where target not in (select id from nodes)")
 
 
 def _cross_language(g: Graph) -> DataFrame:
-    some = g.edges.where("ord % 1000 in (1, 2)")
-    nation = g.nodes.select(F.col("id").alias("source"), F.col("language").alias("_n"))
-    calls = some.join(nation, "source").withColumn("target", F.when(F.col("ord") % 2 == 0, "list").otherwise(F.col("_n"))).withColumn("relation", F.lit("subprocess")).select(g.edges.columns)
-    brands = ("Brand#1", *(f"Brand#1{k}" for k in range(10)))
-    done = relations.resolve_cross_language(Graph(g.nodes, calls), brands, ())
+    calls = g.edges.withColumns({"target": paths.file_stem(F.col("target")), "relation": F.lit("subprocess")})
+    done = relations.resolve_cross_language(Graph(g.nodes, calls), ("html",), ())
     return done.edges.groupBy(F.when(F.col("relation") == "subprocess", "kept").otherwise("rewritten").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -177,7 +175,7 @@ def _pagerank_sql(rounds: int) -> str:
 _add("pagerank_20", "trade", lambda g: iterative.pagerank(g, fixed=_ROUNDS).select("id", F.round("score", 9).alias("score")), f"{_pagerank_sql(_ROUNDS)} select id, round(s, 9) as score from r{_ROUNDS}")
 _add("pagerank_cyclic", "events", lambda g: iterative.pagerank(g, fixed=_ROUNDS).select("id", F.round("score", 9).alias("score")), f"{_pagerank_sql(_ROUNDS)} select id, round(s, 9) as score from r{_ROUNDS}")
 _add("hotpaths_pagerank", "corpus", lambda g: ranking.hot_paths(g, 20, "pagerank").select("id", "rank", F.round("score", 9).alias("score")))
-_add("betweenness", "nations", lambda g: iterative.betweenness(Graph(g.nodes, g.edges.where("ord % 7 = 0 and cast(substr(source, 3) as int) % 5 = cast(substr(target, 3) as int) % 4"))).select("id", F.round("score", 9).alias("score")))
+_add("betweenness", "corpus", lambda g: iterative.betweenness(g).select("id", F.round("score", 9).alias("score")))
 _add("hotpaths_betweenness", "events", lambda g: ranking.hot_paths(g, 5, "betweenness").select("id", "rank", F.round("score", 9).alias("score")))
 _add("repo_cycles", "nations", lambda g: records.repo_cycles(g).select(_joined("cycle", False).alias("cycle")), f"{_CROSS}, p as (select distinct source_repo as s, target_repo as t from x), w as (select [s, t] as path from p where s < t union all select list_append(w.path, p.t) from w join p on p.s = w.path[-1] where len(w.path) <= 8 and p.t > w.path[1] and not list_contains(w.path, p.t)) select array_to_string(list_append(path, path[1]), ',') as cycle from w join p on p.s = path[-1] and p.t = path[1] where len(path) <= 8", True)
 
@@ -196,7 +194,7 @@ _add("communities_numbered", "folders", lambda g: communities.communities(g, mix
 # Mutation and records
 _add("remove_files", "corpus", lambda g: _removed(g), "gone as (select id from nodes where filepath like '/src1/%') select (select count(*) from nodes where id not in (from gone)) as n_nodes, count(*) as n_edges from edges where source not in (from gone) and target not in (from gone)")
 _add("upsert_files", "corpus", lambda g: _upserted(g), "old as (select id from nodes where filepath = '/src1/en/doc') select id, case when id in (from old) then 'new' else 'old' end as state from nodes")
-_add("duplicate_ids", "corpus", lambda g: Graph.of(g.nodes.unionByName(g.nodes.where("ord % 3 = 0").withColumn("ord", F.col("ord") + 1000000000).withColumn("docstring", F.lit("again"))), g.edges).nodes.select("id", "ord", F.md5(F.col("docstring").cast("binary")).alias("doc")), "select id, ord, md5(case when ord % 3 = 0 then 'again' else docstring end) as doc from nodes")
+_add("duplicate_ids", "corpus", lambda g: Graph.of(g.nodes.unionByName(g.nodes.where("language = 'en'").withColumn("ord", F.col("ord") + 1000000000).withColumn("docstring", F.lit("again"))), g.edges).nodes.select("id", "ord", F.md5(F.col("docstring").cast("binary")).alias("doc")), "select id, ord, md5(case when language = 'en' then 'again' else docstring end) as doc from nodes")
 _add("decision_records", "nations", lambda g: records.decision_records(g, F.lit("2024-01-01"), 3).where("rule = 1").select("id", "title", "status", "date", "decision", "context"), f"{_CROSS}, r as (select source_repo as r, count(*) as n, list_sort(list(distinct target_repo)) as t, min(ord) as first from x group by 1) select printf('ADR-%03d', row_number() over (order by first)) as id, 'Calls from ' || r || ' into other repositories' as title, 'proposed' as status, '2024-01-01' as date, r || ' depends at run time on ' || len(t) || ' repositories: ' || array_to_string(t, ', ') as decision, n || ' edges lead from ' || r || ' to other repositories, which couples them.' as context from r")
 
 

@@ -59,12 +59,12 @@ VIEWS: dict[str, tuple[str, str]] = {
         """select event_id as ord, event_type as source, following as target, 'calls' as relation, 0 as line, '' as repo
           from (select event_id, event_type, lead(event_type) over (partition by user_id order by ts, event_id) as following from {events}) z where following is not null""",
     ),
-    # Documents in directories by source and language, importing what their numbers share.
+    # Documents in directories by source and language; those of every fourth source import one module of their language, and each imports itself.
     "folders": (
         f"""select {_NODE} from (
           select doc_id as ord, concat('/', source, '/', lang, '/', cast(doc_id as varchar(20))) as id, cast(doc_id as varchar(20)) as name, 'function' as kind, concat('/', source, '/', lang, '/', cast(doc_id as varchar(20))) as filepath, '' as docstring, '' as signature, lang as language, source as repo from {{documents}}) x""",
-        """select doc_id as ord, concat('/', source, '/', lang, '/', cast(doc_id as varchar(20))) as source, concat('m', cast(doc_id % 4 as varchar(20)), lang) as target, 'imports' as relation, 0 as line, source as repo from {documents} where doc_id % 3 = 0 and source in ('src1', 'src2', 'src3', 'src5', 'src8')
-           union all select 1000000000 + doc_id, concat('/', source, '/', lang, '/', cast(doc_id as varchar(20))), concat('/', source, '/', lang, '/', cast(doc_id as varchar(20))), 'imports', 0, source from {documents} where doc_id % 7 = 0""",
+        """select doc_id as ord, concat('/', source, '/', lang, '/', cast(doc_id as varchar(20))) as source, concat('m', cast(cast(substr(source, 4) as int) % 4 as varchar(20)), lang) as target, 'imports' as relation, 0 as line, source as repo from {documents}
+           union all select 1000000000 + doc_id, concat('/', source, '/', lang, '/', cast(doc_id as varchar(20))), concat('/', source, '/', lang, '/', cast(doc_id as varchar(20))), 'imports', 0, source from {documents}""",
     ),
 }
 

@@ -207,17 +207,21 @@ def extract(filepath: str, text: str) -> list[dict]:
 
 
 _LINE = (
-    ("function", r"(?:export\s+(?:default\s+)?)?function\s+(\w+)"),
-    ("function", r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=[^=]*=>"),
-    ("class", r"(?:export\s+)?class\s+(\w+)"),
-    ("interface", r"(?:export\s+)?interface\s+(\w+)"),
-    ("imports", r"import\s+(?:(?:\{[^}]+\}|\w+)\s+from\s+)?['\"]([^'\"]+)['\"];?"),
-    ("exports", r"export\s+(?:default\s+)?(?:class|function|interface|const|let|var)?\s*(\w+)?"),
-    ("calls", r"(\w+)\s*\("),
-    ("calls", r"<([A-Z]\w*)(?:\s|/>|>)"),
+    ("function", r"function\s+(\w+)"),
+    ("function", r"(?:var|let|const)\s+(\w+)\s*=[^=]*=>"),
+    ("class", r"class\s+(\w+)"),
+    ("interface", r"interface\s+(\w+)"),
+    ("imports", r"""import\s+(?:(?:\w+|[{][^}]+[}])\s+from\s+)?["']([^"']+)["']"""),
+    ("exports", r"export\s+(?:default\s+)?(?:const|let|var|interface|class|function)?\s*(\w+)?"),
+    ("calls", r"(\w+)\s*[(]"),
+    ("calls", r"<([A-Z]\w*)(?=\s|/?>)"),
 )
 
 
+def _labelled(place: int, what: str):
+    return lambda x: F.struct(F.lit(place).alias("place"), F.lit(what).alias("what"), x.alias("name"))
+
+
 def by_line(files: DataFrame) -> DataFrame:
     """Rows (filepath, text) -> (filepath, line, what, name): what is function, class, interface, imports, exports or calls.
 
@@ -232,5 +236,5 @@ def by_line(files: DataFrame) -> DataFrame:
             names = F.transform(names, lambda x: F.when(F.coalesce(x, F.lit("")) == "", "*").otherwise(x))
         if what == "calls" and place == 6:
             names = F.filter(names, lambda x: ~x.isin("if", "while", "for", "switch", "catch", "return"))
-        found.append(F.transform(names, lambda x, what=what, place=place: F.struct(F.lit(place).alias("place"), F.lit(what).alias("what"), x.alias("name"))))
+        found.append(F.transform(names, _labelled(place, what)))
     return lines.select("filepath", (F.col("n") + 1).alias("line"), F.explode(F.concat(*found)).alias("f")).select("filepath", "line", "f.place", "f.what", "f.name")
