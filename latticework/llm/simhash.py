@@ -1,7 +1,9 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A document's fingerprint is 128 bits over its distinct lower-cased words, each
-weighted 1 + floor(log2(count)).  It is cut into `segments` segments.  If two
+A document's fingerprint is 128 bits over its distinct lower-cased words.  A
+word weighs 1, those of 4 bytes or more 2 and of 7 or more 3, and floor(log2(count))
+besides: short words are common to all documents of a language, and if they
+weighed as much, unrelated documents would have like fingerprints.  It is cut into `segments` segments.  If two
 fingerprints differ in at most r = segments * (2 * ball + 1) - 1 bits, they
 differ in at most 2 * ball bits of some segment (pigeonhole), so their Hamming
 balls of radius `ball` in that segment meet.  Every fingerprint is entered in
@@ -9,9 +11,8 @@ the table under each value of its balls and looks itself up under the same
 values, which serves both sides of the search with one shuffle; the complete
 distance decides.
 
-A pair meets under several values.  It is taken under one of them only, the
-lowest shared in the first segment that qualifies, so no pair has to be made
-distinct afterwards.  Equal fingerprints are collapsed before the search.
+Wanted are the connected groups, so pairs inside a group that is connected
+already are passed over (`linked`).  Equal fingerprints are collapsed first.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textvec as tv
 from .common import components, maybe_broadcast, row_key, stored
 
 SEGMENTS = 6
 RADIUS = 17
+#: Groups of more fingerprints meet by label.
+LARGE = 32
+_LENGTHS = np.array([3, 6])
 _U = np.uint64
 
 
@@ -38,8 +43,11 @@ def hash_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = tv.words(data, offsets)
     hashes = tv.span_hash(tv.prefix(data), starts, ends)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    row, feature, count = tv.distinct(rows, hashes)
-    weight = 1 + np.log2(count).astype(np.int64)
+    # The two lowest bits of the 40 that `distinct` keeps say how long the word is.
+    length = np.searchsorted(_LENGTHS, ends - starts).astype(np.uint64)
+    row, feature, count = tv.distinct(rows, hashes & ~_U(3 << 24) | length << _U(24))
+    length = (feature & _U(3)).astype(np.int64)
+    weight = 1 + length + np.where(length > 0, np.log2(count).astype(np.int64), 0)
     bounds = np.searchsorted(row, np.arange(len(offsets)))
     totals = np.concatenate(([0], np.cumsum(weight)))
     repeated = np.repeat(feature, weight)
@@ -79,60 +87,68 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}.hi").bitwiseXOR(F.col(f"{b}.hi"))) + F.bit_count(F.col(f"{a}.lo").bitwiseXOR(F.col(f"{b}.lo")))
 
 
-def pairs(prints: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """All unordered pairs of distinct fingerprints (hi, lo) within `radius`: (a_hi, a_lo, b_hi, b_lo, distance)."""
-    ball = 0
-    while segments * (2 * ball + 1) - 1 < radius:
-        ball += 1
+def _entries(prints: DataFrame, segments: int, ball: int, *kept: str) -> DataFrame:
+    """(key, hi, lo, *kept): each fingerprint under every value within `ball` bits of each of its segments."""
     widths = _widths(128, segments)
     starts = list(itertools.accumulate([0, *widths[:-1]]))
     masks = [(s, sum(1 << b for b in flip)) for s in range(segments) for k in range(ball + 1) for flip in itertools.combinations(range(widths[s]), k)]
-    spark = prints.sparkSession
     # A fixed table: its size depends on the parameters alone.
-    table = F.broadcast(spark.createDataFrame(masks, "seg int, flip long"))
+    table = F.broadcast(prints.sparkSession.createDataFrame(masks, "seg int, flip long"))
     value = F.coalesce(*[F.when(F.col("seg") == s, segment(F.col("hi"), F.col("lo"), starts[s], widths[s])) for s in range(segments)])
-    entry = prints.select("hi", "lo").crossJoin(table).select(F.shiftleft(F.col("seg").cast("long"), 58).bitwiseOR(value.bitwiseXOR(F.col("flip"))).alias("key"), "hi", "lo")
-    a, b = entry.alias("a"), entry.alias("b")
-    found = distance("a", "b") <= radius
-    ordered = (F.col("a.hi") < F.col("b.hi")) | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo")))
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & ordered & found)
-    # Once a pair: the first segment within twice the ball, and the lowest value that both balls have there.
-    first, lowest = F.lit(None).cast("int"), F.lit(None).cast("long")
-    at_a = [segment(F.col("a.hi"), F.col("a.lo"), starts[s], widths[s]) for s in range(segments)]
-    at_b = [segment(F.col("b.hi"), F.col("b.lo"), starts[s], widths[s]) for s in range(segments)]
-    near = [F.bit_count(x.bitwiseXOR(y)) <= 2 * ball for x, y in zip(at_a, at_b)]
-    first = F.coalesce(*[F.when(near[s], F.lit(s)) for s in range(segments)])
-    seg = F.shiftrightunsigned(F.col("a.key"), 58)
-    here = F.col("a.key").bitwiseAND(F.lit((1 << 58) - 1))
-    x = F.coalesce(*[F.when(seg == s, at_a[s]) for s in range(segments)])
-    y = F.coalesce(*[F.when(seg == s, at_b[s]) for s in range(segments)])
-    apart, mine = x.bitwiseXOR(y), here.bitwiseXOR(x)
-    # The shared values that flip only differing bits of a, as few as it takes for b; of those, the lowest bits.
-    excess = F.greatest(F.bit_count(apart) - ball, F.lit(0))
-    low, rest = F.lit(0).cast("long"), apart
-    chosen = [low]
-    for _ in range(ball):
-        bit = rest.bitwiseAND(-rest)
-        low, rest = low.bitwiseOR(bit), rest.bitwiseXOR(bit)
-        chosen.append(low)
-    wanted = F.coalesce(*[F.when(excess == k, chosen[k]) for k in range(ball + 1)])
-    joined = joined.where((first == seg) & (mine == wanted))
-    return joined.select(F.col("a.hi").alias("a_hi"), F.col("a.lo").alias("a_lo"), F.col("b.hi").alias("b_hi"), F.col("b.lo").alias("b_lo"), distance("a", "b").alias("distance"))
+    return prints.crossJoin(table).select(F.shiftleft(F.col("seg").cast("long"), 58).bitwiseOR(value.bitwiseXOR(F.col("flip"))).alias("key"), "hi", "lo", *kept)
+
+
+def _node(t: str = "") -> Column:
+    return F.xxhash64(f"{t}hi", f"{t}lo")
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str], extra: Column, radius: int) -> DataFrame:
+    """(a, b): nodes of the rows of `a` and `b` that agree in `on`, meet `extra` and are within `radius`."""
+    joined = a.alias("a").join(b.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [extra, distance("a", "b") <= radius])
+    return joined.select(_node("a.").alias("a"), _node("b.").alias("b"))
+
+
+def linked(prints: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
+    """(node, component) of the distinct fingerprints (hi, lo) that are within `radius` of another; node is their hash, component that of the group.
+
+    A group is a connected component of all pairs within the radius.  Pairs
+    inside a group that is known to be connected add nothing, and in large
+    groups they are nearly all of the work.  So fingerprints are first linked
+    to one other of the same segment value; the search by balls then passes
+    over pairs that have the same label.  Members of large groups meet one
+    another by label, so that not even their comparison is paid for.
+    """
+    ball = 0
+    while segments * (2 * ball + 1) - 1 < radius:
+        ball += 1
+    same = Window.partitionBy("key").orderBy("hi", "lo")
+    led = _entries(prints, segments, 0).withColumns({"a": F.struct(F.first("hi").over(same).alias("hi"), F.first("lo").over(same).alias("lo")), "b": F.struct("hi", "lo")})
+    edges = stored(led.where((F.col("a") != F.col("b")) & (distance("a", "b") <= radius)).select(_node("a.").alias("a"), _node("b.").alias("b")).distinct(), "first-links")
+    found = stored(components(edges).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("component"))), "first-groups")
+    known = prints.withColumn("node", _node()).join(maybe_broadcast(found, found.count(), 48), "node", "left")
+    known = stored(known.select("hi", "lo", F.coalesce("component", "node").alias("label"), (F.coalesce("size", F.lit(1)) > LARGE).alias("large")), "labelled")
+    few, many = (_entries(known.where(c), segments, ball, "label") for c in ("not large", "large"))
+    differ = F.col("a.label") < F.col("b.label")
+    met = _met(few, few, ["key"], differ, radius).unionByName(_met(many, few, ["key"], F.lit(True), radius))
+    if not known.where("large").isEmpty():
+        labels = many.select("key", "label").distinct()
+        both = labels.alias("a").join(labels.alias("b"), (F.col("a.key") == F.col("b.key")) & differ).select("a.key", "a.label", F.col("b.label").alias("other"))
+        left = many.join(both, ["key", "label"]).select("key", "other", "hi", "lo")
+        met = met.unionByName(_met(left, many.withColumnRenamed("label", "other"), ["key", "other"], F.lit(True), radius))
+    more = stored(met.distinct(), "further-links")
+    return stored(components(edges.unionByName(more)) if not more.isEmpty() else found.drop("size"), "groups")
 
 
 def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
     """(k_doc, k_text, group, keep) of every distinct row with words; one row of each group has keep.
 
-    A group is a connected component of the fingerprint pairs.  Kept is the
-    lowest doc_id (nulls last), among equal ids the lowest content hash.
+    Kept is the lowest doc_id (nulls last), among equal ids the lowest content hash.
     """
     rows = stored(fingerprints(docs).distinct(), "fingerprints")
-    prints = rows.select("hi", "lo").distinct()
-    near = pairs(prints, segments, radius).select(F.xxhash64("a_hi", "a_lo").alias("a"), F.xxhash64("b_hi", "b_lo").alias("b"))
-    linked = stored(components(near), "groups")
-    rows = rows.withColumn("node", F.xxhash64("hi", "lo"))
-    n = linked.count()
-    rows = rows.join(maybe_broadcast(linked, n, 40), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    prints = stored(rows.select("hi", "lo").distinct(), "distinct-fingerprints")
+    near = linked(prints, segments, radius)
+    rows = rows.withColumn("node", _node())
+    rows = rows.join(maybe_broadcast(near, near.count(), 40), "node", "left").withColumn("group", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("k_doc").isNull().alias("none"), "k_doc", "k_text"))
     best = rows.groupBy("group").agg(first.alias("best"))
     return rows.join(best, "group").select("k_doc", "k_text", "group", (F.struct(F.col("k_doc").isNull().alias("none"), "k_doc", "k_text") == F.col("best")).alias("keep"))
