@@ -2,7 +2,7 @@
 
 A document is the average of learned vectors of its words, word pairs and
 character 3- and 4-grams (spaces mark the ends of words), all hashed into
-`buckets` rows; a softmax over two classes reads it.  Training is stochastic
+`buckets` rows, all pairs of a word with itself into one; a softmax over two classes reads it.  Training is stochastic
 gradient descent in numpy on the driver, on at most `sample` labelled documents
 (lowest hashes of their ids) whose features the executors extract.  The model
 is linear after training, so a document's logit is the average of one number
@@ -48,7 +48,8 @@ def features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     word = tv.span_hash(sums, starts, ends)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))
     same = row[1:] == row[:-1]
-    pair = tv.mix(word[:-1] * _U(3) + word[1:], 1)[same]
+    # A word after itself is one feature whatever the word: repetition tells more than which word it is.
+    pair = np.where(word[:-1] == word[1:], _U(1), tv.mix(word[:-1] * _U(3) + word[1:], 1))[same]
     of_byte = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     spaces = np.concatenate(([0], np.cumsum(~inside, dtype=np.int32)))
     hashes, rows = [word, pair], [row, row[:-1][same]]
