@@ -41,7 +41,8 @@ def _runs(tokens: Column, n: int) -> Column:
 
 def ngrams(tokens: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     """All runs of the given lengths, repeats included, shorter lengths first."""
-    return F.concat(*[_runs(tokens, n) for n in sizes])
+    # Bound by a lambda, the tokens are computed once, not for each run.
+    return F.get(F.transform(F.array(tokens), lambda t: F.concat(*[_runs(t, n) for n in sizes])), F.lit(0))
 
 
 def extract_ngrams(text: Column, max_n: int = 3) -> Column:
