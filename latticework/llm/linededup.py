@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import editdistance
 from . import textvec as tv
 from .common import components, drop_stored, maybe_broadcast, stored
 
@@ -169,24 +170,22 @@ def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, n: int) -> DataF
     return rows.select("w.node", normalised(F.get("parts", F.col("w.line_no"))).alias("norm")).dropDuplicates(["node"])
 
 
-def within(a: Column, b: Column, allowed: Column) -> Column:
-    """Whether the edit distance is at most `allowed`; the narrow band that the threshold leaves keeps long lines cheap."""
-    found = F.levenshtein(a, b)
-    for most in (4096, 1024, 256, 64, 16):
-        found = F.when(allowed <= most, F.levenshtein(a, b, most)).otherwise(found)
-    return (found >= 0) & (found <= allowed)
-
-
 def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough."""
     n = pairs.count()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     text = stored(_texts(docs, lines, ends, 2 * n), "line-texts")
     near = pairs.join(text.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
-    x, y = F.col("x"), F.col("y")
-    allowed = F.floor(F.greatest(F.char_length(x), F.char_length(y)) * (1 - similarity) + 1e-9).cast("int")
-    near = near.where(F.abs(F.char_length(x) - F.char_length(y)) <= allowed).where(within(x, y, allowed))
-    out = stored(near.select("a", "b"), "near-lines")
+    near = near.where(F.abs(F.char_length("x") - F.char_length("y")) <= F.greatest(F.char_length("x"), F.char_length("y")) * (1 - similarity) + 1e-9).select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            for part in tv.slices(batch, "x"):
+                x, y = part.column("x").to_pylist(), part.column("y").to_pylist()
+                allowed = np.floor(np.array([max(len(s), len(t)) for s, t in zip(x, y)]) * (1 - similarity) + 1e-9).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(editdistance.within(x, y, allowed)))
+
+    out = stored(near.mapInArrow(run, "a long, b long"), "near-lines")
     drop_stored(text)
     return out
 

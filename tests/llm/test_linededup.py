@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 import regex
 
-from latticework.llm import linededup
+from latticework.llm import editdistance, linededup
 
 
 def norm(line):
@@ -129,10 +129,29 @@ def test_changed_words_share_a_block(changed):
         assert set(keys[: first[1]].tolist()) & set(keys[first[1] :].tolist())
 
 
-def test_edit_distance_bands(spark):
-    from pyspark.sql import functions as F
-
-    rows = [("a" * n, "a" * (n - k) + "b" * k, k + d) for n in (30, 300, 3000) for k in (3, 20, 70) if k < n for d in (-1, 0, 1)]
-    df = spark.createDataFrame(rows, "a string, b string, t int")
-    got = df.select(linededup.within(F.col("a"), F.col("b"), F.col("t")).alias("w"), "a", "b", "t").collect()
-    assert all(r["w"] == (r["b"].count("b") <= r["t"]) for r in got)
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, above = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(above[j + 1] + 1, row[j] + 1, above[j] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distances_against_the_table():
+    rng = np.random.default_rng(4)
+    pairs = [("", ""), ("", "abc"), ("abc", ""), ("same", "same"), ("é日🙂", "日🙂x")]
+    for size in (3, 20, 63, 64, 65, 127, 130, 200, 300, 520, 600):
+        for edits in (0, 1, 3, size // 8, size):
+            a = list(rng.choice(list("abcdé 日"), size))
+            b = list(a)
+            for _ in range(edits):
+                k = int(rng.integers(0, len(b) + 1))
+                b[k : k + int(rng.integers(0, 2))] = list(rng.choice(list("abcx"), int(rng.integers(0, 2))))
+            pairs.append(("".join(a), "".join(b)))
+    left, right = map(list, zip(*pairs))
+    true = np.array([distance(a, b) for a, b in pairs])
+    for d in (-1, 0, 1):
+        allowed = true + d
+        assert np.array_equal(editdistance.within(left, right, allowed), true <= allowed)
+        assert np.array_equal(editdistance.within(right, left, allowed), true <= allowed)
