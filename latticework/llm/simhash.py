@@ -129,7 +129,9 @@ def linked(prints: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) ->
     known = stored(known.select("hi", "lo", F.coalesce("component", "node").alias("label"), (F.coalesce("size", F.lit(1)) > LARGE).alias("large")), "labelled")
     few, many = (_entries(known.where(c), segments, ball, "label") for c in ("not large", "large"))
     differ = F.col("a.label") < F.col("b.label")
-    met = _met(few, few, ["key"], differ, radius).unionByName(_met(many, few, ["key"], F.lit(True), radius))
+    # The labels of both sides always differ here; naming them lets this join read the shuffle of the one before.
+    apart = F.col("a.label") != F.col("b.label")
+    met = _met(few, few, ["key"], differ, radius).unionByName(_met(many, few, ["key"], apart, radius))
     if not known.where("large").isEmpty():
         labels = many.select("key", "label").distinct()
         both = labels.alias("a").join(labels.alias("b"), (F.col("a.key") == F.col("b.key")) & differ).select("a.key", "a.label", F.col("b.label").alias("other"))
