@@ -119,8 +119,8 @@ _INDEX = (
     + " union all ".join([f"select id, unnest({_GRAMS.format(t='name_t')}) as ngram, 3.0 as w from tok", f"select id, unnest({_GRAMS.format(t='doc_t')}), 1.5 from tok", f"select id, unnest({_GRAMS.format(t='sig_t')}), 1.0 from tok", f"select id, unnest({_GRAMS.format(t='t')}), 1.0 from callee"])
     + "), idx as (select id, ngram, cast(sum(w) as double) as weight from raw group by all)"
 )
-_ASKED = "parse load page load"
-_QGRAMS = "q as (select unnest(['parse', 'load', 'page', 'load', 'parse load', 'load page', 'page load', 'parse load page', 'load page load']) as ngram, unnest(range(9)) as place)"
+_ASKED = "released license tion license"
+_QGRAMS = "q as (select unnest(['released', 'license', 'tion', 'license', 'released license', 'license tion', 'tion license', 'released license tion', 'license tion license']) as ngram, unnest(range(9)) as place)"
 _BM25 = _INDEX + f", {_QGRAMS}, dl as (select id, count(*) as dl from idx group by id), corpus as (select count(*) as n, avg(dl) as avgdl from dl), df as (select ngram, count(*) as df from idx group by ngram), b as (select idx.id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * weight * 2.5 / (weight + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score, string_agg(q.ngram, ',' order by place) as matched from idx join q on idx.ngram = q.ngram join df on df.ngram = idx.ngram join dl on dl.id = idx.id, corpus group by idx.id)"
 _add("ngram_index", "corpus", lambda g: search.ngram_index(g).groupBy("id").agg(F.count(F.lit(1)).alias("n_ngrams"), F.round(F.sum("weight"), 3).alias("weight")), f"{_INDEX} select id, count(*) as n_ngrams, round(sum(weight), 3) as weight from idx group by id")
 _add("bm25_corpus_stats", "corpus", lambda g: _corpus_stats(g), f"{_INDEX}, dl as (select id, count(*) as n from idx group by id) select count(*) as n_docs, round(avg(n), 6) as avg_len, (select count(distinct ngram) from idx) as n_ngrams from dl")
