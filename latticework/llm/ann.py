@@ -30,6 +30,8 @@ from .common import stored
 
 GROUP_ROWS = 4096
 QUERY_ROWS = 16384
+#: Queries whose probes are worked out at once; each has some thousands of prefixes.
+VISIT_ROWS = 128
 
 
 @dataclass(frozen=True)
@@ -183,8 +185,8 @@ def nearest(vectors: DataFrame, params: Params | None = None, id_column: str = "
     def visits(batches):
         for batch in batches:
             x, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
-            for start in range(0, len(x), 1024):
-                part = x[start : start + 1024]
+            for start in range(0, len(x), VISIT_ROWS):
+                part = x[start : start + VISIT_ROWS]
                 for t in tables:
                     if exhaustive:
                         q, key = np.arange(len(part)), np.zeros(len(part), dtype=np.int64)
@@ -212,20 +214,21 @@ def nearest(vectors: DataFrame, params: Params | None = None, id_column: str = "
         if len(ids) and len(qid):
             counts = pc.list_value_length(ask.column("buckets").combine_chunks()).to_numpy(zero_copy_only=False)
             visit_bucket = ask.column("buckets").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            visit_query = np.repeat(np.arange(len(qid)), counts)
+            first = np.concatenate(([0], np.cumsum(counts)))
             names, index = np.unique(bucket, return_inverse=True)
-            wanted = np.zeros((len(qid), len(names)), dtype=bool)
-            at = np.searchsorted(names, visit_bucket)
-            at = np.minimum(at, len(names) - 1)
+            at = np.minimum(np.searchsorted(names, visit_bucket), len(names) - 1)
             hit = names[at] == visit_bucket
-            wanted[visit_query[hit], at[hit]] = True
             by = np.argsort(ids, kind="stable")
             x, ids, index = x[by], ids[by], index[by]
             norm = (x * x).sum(1)
             for start in range(0, len(qid), 512):
                 part = slice(start, start + 512)
                 rough = norm[None, :] - 2 * (q[part] @ x.T)
-                rough[~wanted[part][:, index]] = np.inf
+                n = len(qid[part])
+                span = slice(first[start], first[start + n])
+                wanted = np.zeros((n, len(names)), dtype=bool)
+                wanted[np.repeat(np.arange(n), counts[part])[hit[span]], at[span][hit[span]]] = True
+                rough[~wanted[:, index]] = np.inf
                 rough[ids[None, :] == qid[part][:, None]] = np.inf
                 take = min(p.k + 6, len(ids))
                 near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
