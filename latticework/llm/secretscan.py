@@ -35,16 +35,27 @@ class Rule:
         return f"{self.name}@{self.version}"
 
 
+#: A key from its BEGIN line through its END line, with header fields (Proc-Type) and lines behind a quote, a comment sign or a diff's
+#: minus; where the END line is missing, to the end of the base64 body.  Java, RE2 and Python read it alike.
+_PRIVATE_KEY = (
+    r"-----BEGIN (?:[0-9A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[ \t\r]*(?:\n|\\r\\n|\\n)[ \t+#>-]*[A-Z][0-9A-Za-z-]{1,30}: ?[^\n\\]*)*"
+    r"(?:[^-]*(?:\n-{1,3}[^-]+)*-{5,}END (?:[0-9A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:[\s\\\"'>#,]*[0-9A-Za-z+/=]{16,})+(?:(?:\r?\n|\\n)[0-9A-Za-z+/=]{1,15})?)?)"
+)
+#: Between a name and its value; the name may end with a quote, as in JSON, itself escaped or not.
+_ASSIGNED = r"\\?[\"']? ?[=:] ?\\?[\"']?"
+
 RULES = (
     Rule("aws_access_key", 1, r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", ("akia", "asia")),
     Rule("github_token", 1, r"\bgh[pousr]_[0-9A-Za-z]{36}\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack_token", 1, r"\bxox[abprs]-[0-9A-Za-z-]{10,}", ("xox",)),
     Rule("google_api_key", 1, r"\bAIza[0-9A-Za-z_-]{35}", ("aiza",)),
     Rule("stripe_key", 1, r"\b[sr]k_live_[0-9A-Za-z]{16,}", ("k_live_",)),
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("-----begin",)),
+    Rule("private_key", 2, _PRIVATE_KEY, ("-----begin",)),
     Rule("json_web_token", 1, r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", ("eyj",)),
-    Rule("password_assignment", 1, r"(?i:\b(?:password|passwd|pwd)) ?[=:] ?[\"']?[0-9A-Za-z_+/!@#$%^&*.-]{8,}", ("password", "passwd", "pwd")),
-    Rule("token_assignment", 1, r"(?i:\b(?:token|secret|api_key|apikey|access_key)) ?[=:] ?[\"']?[0-9A-Za-z_+/=-]{16,}", ("token", "secret", "api_key", "apikey", "access_key")),
+    Rule("password_assignment", 2, rf"(?i:\b[0-9a-z_]*(?:password|passwd|pwd)){_ASSIGNED}[0-9A-Za-z_+/!@#$%^&*.-]{{8,}}", ("password", "passwd", "pwd")),
+    Rule("token_assignment", 2, rf"(?i:\b[0-9a-z_]*(?:token|secret|api_key|apikey|access_key)){_ASSIGNED}[0-9A-Za-z_+/=-]{{16,}}", ("token", "secret", "api_key", "apikey", "access_key")),
     Rule("url_credentials", 1, r"\b[a-z][0-9a-z+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", ("://",)),
 )
 #: What a secret is replaced by.

@@ -54,3 +54,40 @@ def test_redaction(spark):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a [SECRET] b", 12, "x")] * 2 + [(2, "clean", 5, "y"), (3, None, None, "z"), (None, "[SECRET]", 8, "w")], key=str)
     assert ss.redact_documents(df.limit(0)).count() == 0
+
+
+BODY = "\n".join(["MIIEowIBAAKCAQEA" + "x9/+" * 12] * 12 + ["q2Zk0w=="])
+
+
+def test_private_keys_go_with_their_body(spark):
+    """Header, body and END line are one secret, in every form that a key comes in; the text around it stays."""
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    keys = [
+        f"{begin}\n{BODY}\n{end}",
+        f"{begin}\n{fields}{BODY}\n{end}",
+        f"{begin}\n{BODY}\n{end}".replace("\n", "\\n"),
+        f"{begin}\n{BODY}\n{end}".replace("\n", "\n-"),
+        f"{begin}\n{BODY}",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x\n\n{BODY}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----",
+        f"{begin}\n" + "A1b2" * 100_000 + f"\n{end}",
+    ]
+    rows = [(i, f"before it\n{k}\n\nafter-wards, more.") for i, k in enumerate(keys)] + [(90, f"The line {begin} opens a key - so it is."), (91, f"{keys[0]} and - {keys[0]}!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in ss.redact_documents(df).collect()}
+    assert {i: clean[i] for i in range(len(keys))} == {i: "before it\n[SECRET]\n\nafter-wards, more." for i in range(len(keys))}
+    assert clean[90] == "The line [SECRET] opens a key - so it is." and clean[91] == "[SECRET] and - [SECRET]!"
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = {tuple(r) for r in ss.scan_documents(df).select("doc_id", "rule", "secret_sha256", "n_hits", "blob").collect()}
+    assert got == brute(rows) == {tuple(r) for r in con.execute(f"select doc_id, rule, secret_sha256, n_hits, blob from ({ss.oracle_sql()})").fetchall()}
+
+
+def test_assignments_of_environments_and_json(spark):
+    value = "a1B2c3D4e5F6g7H8"
+    forms = [f"DB_PASSWORD={value}", f"AWS_SECRET_ACCESS_KEY={value}", f"auth_token={value}", f"client_secret: {value}", f'"api_key": "{value}"', f'\\"dbPassword\\": \\"{value}\\"']
+    df = spark.createDataFrame([(i, f"x {f} y") for i, f in enumerate(forms)] + [(99, f"tokens {value} password {value}")], "doc_id long, text string")
+    assert {r["doc_id"] for r in ss.scan_documents(df).collect()} == set(range(len(forms)))
+    clean = {r["doc_id"]: r["text"] for r in ss.redact_documents(df).collect()}
+    assert not any(value in clean[i] for i in range(len(forms)))
