@@ -3,12 +3,15 @@
 Each of `tables` tables hashes a vector with `functions` Gaussian projections,
 h(x) = floor((a.x + b) / w).  A query's neighbour at distance R has the
 projection a.x + N(0, R**2), which gives the probability of each slot of each
-function and, by their product, the success probability of each bucket.  A
-query visits buckets in descending success probability until their sum reaches
-the share that makes `tables` independent tables find `target` of the
-neighbours.  R is the k-th neighbour's distance, measured exactly for
-`calibration` queries (a bounded sample that sets how far to look; it drops no
-query and no row).
+function and, by their product, the success probability of each bucket.
+
+Every query has its own R.  It first visits `start` buckets a table; the k-th
+distance found there is at least that of the true k-th neighbour.  With it as R
+the query visits buckets in descending success probability until their sum
+reaches the share that makes `tables` independent tables find `target` of the
+neighbours.  A query that found fewer than k rows at first, or for which `most`
+buckets of some table don't reach the share, is held against all rows instead:
+those are also entered under the table `ALL`, by blocks of `GROUP_ROWS`.
 
 Buckets are dealt to groups of at most `GROUP_ROWS` rows; a group's rows and
 the queries that visit it meet in one task, which reranks by exact distance and
@@ -30,8 +33,12 @@ from .common import stored
 
 GROUP_ROWS = 4096
 QUERY_ROWS = 16384
+#: The table that has all rows in each query's reach.
+ALL = -1
 #: Queries whose probes are worked out at once; each has some thousands of prefixes.
 VISIT_ROWS = 128
+#: Prefixes kept for that many queries; queries that need more are worked out in smaller parts.
+PREFIXES = 1024
 
 
 @dataclass(frozen=True)
@@ -42,7 +49,9 @@ class Params:
     #: Slot width in standard deviations of a projection of the data.
     width: float = 1.7
     target: float = 0.95
-    calibration: int = 256
+    #: Buckets a table that a query visits to learn its distance, and at most before it goes by all rows.
+    start: int = 64
+    most: int = 4096
     seed: int = 7
 
 
@@ -86,19 +95,24 @@ class Hashes:
         """One number per bucket: slots in base 201."""
         return (slots + 100) @ (201 ** np.arange(self.p.functions, dtype=np.int64))
 
-    def probes(self, x: np.ndarray, table: int, radius: float, share: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query index, bucket key) in descending success probability, until `share` of the success is covered.
+    def probes(self, x: np.ndarray, table: int, radius: float | np.ndarray, share: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query index, bucket key) in descending success probability, until `share` of the success is covered."""
+        return self.covering(x, table, radius, share, most)[:2]
+
+    def covering(self, x: np.ndarray, table: int, radius: float | np.ndarray, share: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`probes` for a radius of each query, and whether `most` buckets cover the query's share.
 
         Functions are added one by one, keeping the `most` best prefixes: the
         best `most` buckets have all their prefixes among them.
         """
+        radius = np.maximum(np.broadcast_to(np.asarray(radius, dtype=np.float64), len(x)), 1e-12)[:, None]
         at = self.project(x, table)
         own = self.slots(at)
         near = np.arange(-3, 4)
         score, key = np.ones((len(x), 1)), np.zeros((len(x), 1), dtype=np.int64)
         for f in range(self.p.functions):
             slot = own[:, f, None] + near
-            edges = (np.concatenate((slot, slot[:, -1:] + 1), axis=1) * self.w - at[:, f, None]) / max(radius, 1e-12)
+            edges = (np.concatenate((slot, slot[:, -1:] + 1), axis=1) * self.w - at[:, f, None]) / radius
             chance = np.diff(_phi(np.clip(edges, -9, 9)), axis=1)
             score = (score[:, :, None] * chance[:, None, :]).reshape(len(x), -1)
             key = (key[:, :, None] + ((np.clip(slot, -100, 100) + 100) * 201**f)[:, None, :]).reshape(len(x), -1)
@@ -110,39 +124,13 @@ class Hashes:
         before = np.cumsum(score, axis=1) - score
         visited = before < share
         visited[:, 0] = True
-        return np.nonzero(visited)[0], key[visited]
-
-
-def _top(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index and exact distance of each query's k nearest rows (ties by index), from a product and a rerank in doubles."""
-    rough = (x * x).sum(1)[None, :] - 2 * (q @ x.T)
-    take = min(k + 6, x.shape[0])
-    near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < x.shape[0] else np.broadcast_to(np.arange(x.shape[0]), rough.shape).copy()
-    diff = q[:, None, :].astype(np.float64) - x[near].astype(np.float64)
-    return near, np.sqrt((diff * diff).sum(2))
+        return np.nonzero(visited)[0], key[visited], score.sum(axis=1) >= share
 
 
-def calibrate(rows: DataFrame, p: Params) -> tuple[float, float]:
-    """(R: 0.9 quantile of the k-th neighbour's distance over the sample, standard deviation of a projection)."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(p.calibration).toArrow()
-    queries, own = _matrix(sample.column("v")), sample.column("id").to_numpy()
-
-    def nearest_of(batches):
-        for batch in batches:
-            x, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
-            if len(ids):
-                near, distance = _top(queries, x, p.k + 1)
-                distance = np.where(ids[near] == own[:, None], np.inf, distance)
-                row, col = np.nonzero(np.isfinite(distance))
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(distance[row, col])], ["q", "d"])
-
-    found = rows.select("id", "v").mapInArrow(nearest_of, "q long, d double")
-    kth = found.groupBy("q").agg(F.get(F.slice(F.sort_array(F.collect_list("d")), 1, p.k), F.lit(p.k - 1)).alias("d"))
-    radius = kth.agg(F.percentile("d", 0.9)).first()[0]
-    # A projection's variance is the sum of the coordinates' variances.
+def _spread(rows: DataFrame) -> float:
+    """Standard deviation of a projection: its variance is the sum of the coordinates' variances."""
     flat = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("s")).agg(F.sum("s")).first()[0]
-    spread = float(np.sqrt(flat)) if flat else 1.0
-    return (float(radius) if radius is not None else float("inf")), spread
+    return float(np.sqrt(flat)) if flat else 1.0
 
 
 def nearest(vectors: DataFrame, params: Params | None = None, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -162,17 +150,15 @@ def nearest(vectors: DataFrame, params: Params | None = None, id_column: str = "
         return vectors.sparkSession.createDataFrame([], schema)
     dim, total = dims["d"], dims["n"]
     rows = rows.where(F.size("v") == dim)
-    radius, spread = calibrate(rows, p)
-    exhaustive = not np.isfinite(radius) or total <= GROUP_ROWS // 4
-    hashes = Hashes(dim, spread or 1.0, p)
+    hashes = Hashes(dim, _spread(rows), p)
     share = 1 - (1 - p.target) ** (1 / p.tables)
-    tables = range(1 if exhaustive else p.tables)
+    tables, blocks = range(p.tables), -(-total // GROUP_ROWS)
 
     def entries(batches):
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            for t in tables:
-                key = np.zeros(len(x), dtype=np.int64) if exhaustive else hashes.keys(hashes.slots(hashes.project(x, t)))
+            x, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
+            for t in (*tables, ALL):
+                key = ids % blocks if t == ALL else hashes.keys(hashes.slots(hashes.project(x, t)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(key), batch.column("id"), batch.column("v")], ["t", "bucket", "id", "v"])
 
     entry = rows.mapInArrow(entries, "t int, bucket long, id long, v array<float>")
@@ -182,26 +168,54 @@ def nearest(vectors: DataFrame, params: Params | None = None, id_column: str = "
     grouped = stored(grouped.select("t", "bucket", "chunks", F.floor(F.col("fill") / GROUP_ROWS).alias("g")), "bucket-groups")
     queries_in = max(1, -(-total // QUERY_ROWS))
 
-    def visits(batches):
+    def visit_rows(t: int, key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, dtype=np.int32)), pa.array(key), pa.array(ids)], ["t", "bucket", "id"])
+
+    def first_visits(batches):
         for batch in batches:
             x, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
             for start in range(0, len(x), VISIT_ROWS):
-                part = x[start : start + VISIT_ROWS]
                 for t in tables:
-                    if exhaustive:
-                        q, key = np.arange(len(part)), np.zeros(len(part), dtype=np.int64)
-                    else:
-                        q, key = hashes.probes(part, t, radius, share, 1024)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), t, dtype=np.int32)), pa.array(key), pa.array(ids[start + q])], ["t", "bucket", "id"])
+                    q, key = hashes.probes(x[start : start + VISIT_ROWS], t, hashes.w / 2, 2.0, p.start)
+                    yield visit_rows(t, key, ids[start + q])
+
+    def visits(batches):
+        for batch in batches:
+            x, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
+            radius = batch.column("kth").to_numpy(zero_copy_only=False)
+            open_, most = np.flatnonzero(np.isfinite(radius)), min(PREFIXES, p.most)
+            everywhere = np.flatnonzero(~np.isfinite(radius))
+            while len(open_):
+                left = []
+                step = max(1, VISIT_ROWS * PREFIXES // max(most, PREFIXES))
+                for start in range(0, len(open_), step):
+                    part = open_[start : start + step]
+                    found = [hashes.covering(x[part], t, radius[part], share, most) for t in tables]
+                    whole = np.all([covered for _, _, covered in found], axis=0)
+                    left.append(part[~whole])
+                    for t, (q, key, _) in zip(tables, found):
+                        yield visit_rows(t, key[whole[q]], ids[part[q[whole[q]]]])
+                open_ = np.concatenate(left)
+                if most >= p.most:
+                    break
+                most = min(most * 4, p.most)
+            # One row of a block at a time: their number grows with the table.
+            everywhere = np.concatenate((everywhere, open_))
+            for b in range(blocks if len(everywhere) else 0):
+                yield visit_rows(ALL, np.full(len(everywhere), b, dtype=np.int64), ids[everywhere])
 
-    visit = rows.mapInArrow(visits, "t int, bucket long, id long")
     small = grouped.select("t", "bucket", "g", "chunks")
-    where = visit.join(small, ["t", "bucket"]).select("t", "g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "bucket", "id")
-    asked = where.groupBy("t", "g", "chunk", "id").agg(F.collect_list("bucket").alias("buckets")).join(rows, "id")
-    asked = asked.select("t", "g", "chunk", F.pmod(F.xxhash64("id"), F.lit(queries_in)).cast("int").alias("part"), "id", "v", "buckets")
-    held = entry.join(small, ["t", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int"))
-    held = held.select("t", "g", "chunk", F.explode(F.sequence(F.lit(0), F.lit(queries_in - 1))).alias("part"), "id", "v", F.array("bucket").alias("buckets"))
-    both = asked.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
+
+    def reached(visit: DataFrame, held: DataFrame) -> DataFrame:
+        """(id, best): the k nearest of the rows of `held` in the buckets that each query visits."""
+        where = visit.join(small, ["t", "bucket"]).select("t", "g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "bucket", "id")
+        asked = where.groupBy("t", "g", "chunk", "id").agg(F.collect_list("bucket").alias("buckets")).join(rows, "id")
+        asked = asked.select("t", "g", "chunk", F.pmod(F.xxhash64("id"), F.lit(queries_in)).cast("int").alias("part"), "id", "v", "buckets")
+        held = held.join(small, ["t", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int"))
+        held = held.select("t", "g", "chunk", F.explode(F.sequence(F.lit(0), F.lit(queries_in - 1))).alias("part"), "id", "v", F.array("bucket").alias("buckets"))
+        both = asked.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
+        near = both.groupBy("t", "g", "chunk", "part").applyInArrow(rerank, "id long, neighbor_id long, distance double")
+        return near.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("distance", "neighbor_id"))), 1, p.k).alias("best"))
 
     def rerank(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -243,7 +257,10 @@ def nearest(vectors: DataFrame, params: Params | None = None, id_column: str = "
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
         return pa.table({"id": pa.array(join(out_q, np.int64)), "neighbor_id": pa.array(join(out_n, np.int64)), "distance": pa.array(join(out_d, np.float64))})
 
-    near = both.groupBy("t", "g", "chunk", "part").applyInArrow(rerank, "id long, neighbor_id long, distance double")
-    best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("distance", "neighbor_id"))), 1, p.k).alias("best"))
+    first = stored(reached(rows.mapInArrow(first_visits, "t int, bucket long, id long"), entry.where(F.col("t") != ALL)), "first-neighbours")
+    asking = rows.join(first, "id", "left").select("id", "v", F.coalesce(F.get("best", F.lit(p.k - 1))["distance"], F.lit(float("inf"))).alias("kth"))
+    best = reached(asking.mapInArrow(visits, "t int, bucket long, id long"), entry)
+    # What was found at first may lie outside the buckets that were visited then.
+    best = best.unionByName(first).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, p.k).alias("best"))
     ranked = best.select("id", F.posexplode("best").alias("rank", "n"))
     return ranked.select("id", F.col("n.neighbor_id").alias("neighbor_id"), F.col("n.distance").alias("distance"), (F.col("rank") + 1).cast("int").alias("rank"))

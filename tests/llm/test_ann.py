@@ -46,3 +46,23 @@ def test_probes_come_in_order_of_success():
     counts = np.bincount(q, minlength=5)
     assert (counts > 1).all() and len(set(zip(q.tolist(), key.tolist()))) == len(q)
     assert all(own[i] in key[q == i] for i in range(5))
+
+
+def recalls(spark, x):
+    """Share of the ten nearest (by distance) that each row finds; every row has ten."""
+    ids = np.arange(len(x))
+    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    kth = np.partition(d, 9, axis=1)[:, 9]
+    df = spark.createDataFrame([(int(i), row.tolist()) for i, row in zip(ids, x.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = result(ann.nearest(df))
+    assert set(got) == set(ids.tolist()) and all(len(v) == 10 for v in got.values())
+    return np.array([sum(v <= kth[i] + 1e-4 for _, v in got[i]) / 10 for i in ids.tolist()])
+
+
+def test_isolated_rows_beside_near_copies(spark):
+    """A radius of its own for each query: a hot mass of near copies doesn't narrow what the isolated rows visit."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((40, 64))[rng.integers(0, 40, 1900)] + 0.02 * rng.standard_normal((1900, 64))
+    recall = recalls(spark, np.concatenate((x, 1.5 * rng.standard_normal((100, 64)))))
+    assert recall[1900:].mean() >= 0.9 and recall[:1900].mean() >= 0.9
