@@ -66,3 +66,19 @@ def test_isolated_rows_beside_near_copies(spark):
     x = rng.standard_normal((40, 64))[rng.integers(0, 40, 1900)] + 0.02 * rng.standard_normal((1900, 64))
     recall = recalls(spark, np.concatenate((x, 1.5 * rng.standard_normal((100, 64)))))
     assert recall[1900:].mean() >= 0.9 and recall[:1900].mean() >= 0.9
+
+
+def test_many_dimensions_and_small_tables(spark):
+    """Where 1024 buckets don't hold the share, and where few rows are in reach."""
+    rng = np.random.default_rng(2)
+    assert recalls(spark, rng.standard_normal((1500, 384))).mean() >= 0.94
+    assert recalls(spark, rng.standard_normal((300, 16))).mean() >= 0.94
+
+
+def test_queries_beyond_the_share_meet_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = result(ann.nearest(df, ann.Params(most=1, start=1)))
+    want = exact(np.arange(200), x.astype(np.float64), 10)
+    assert {i: [n for n, _ in v] for i, v in got.items()} == {i: [n for n, _ in v] for i, v in want.items()}
