@@ -142,18 +142,18 @@ def linked(prints: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) ->
 
 
 def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """(k_doc, k_text, group, keep) of every distinct row with words; one row of each group has keep.
+    """(k_doc, k_text, group, n_rows, keep) of every distinct row with words, n_rows being how often it occurs; one row of each group has keep.
 
     Kept is the lowest doc_id (nulls last), among equal ids the lowest content hash.
     """
-    rows = stored(fingerprints(docs).distinct(), "fingerprints")
+    rows = stored(fingerprints(docs).groupBy("k_doc", "k_text", "hi", "lo").agg(F.count(F.lit(1)).alias("n_rows")), "fingerprints")
     prints = stored(rows.select("hi", "lo").distinct(), "distinct-fingerprints")
     near = linked(prints, segments, radius)
     rows = rows.withColumn("node", _node())
     rows = rows.join(maybe_broadcast(near, near.count(), 40), "node", "left").withColumn("group", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("k_doc").isNull().alias("none"), "k_doc", "k_text"))
     best = rows.groupBy("group").agg(first.alias("best"))
-    return rows.join(best, "group").select("k_doc", "k_text", "group", (F.struct(F.col("k_doc").isNull().alias("none"), "k_doc", "k_text") == F.col("best")).alias("keep"))
+    return rows.join(best, "group").select("k_doc", "k_text", "group", "n_rows", (F.struct(F.col("k_doc").isNull().alias("none"), "k_doc", "k_text") == F.col("best")).alias("keep"))
 
 
 def near_duplicates(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
@@ -175,9 +175,16 @@ def drop_near_duplicates(docs: DataFrame, segments: int = SEGMENTS, radius: int
 
     Rows without words stay (repeated ones too).
     """
-    gone = stored(groups(docs, segments, radius).groupBy("k_doc", "k_text").agg(F.max("keep").alias("keep")), "kept")
-    drop = gone.where("not keep").select(F.col("k_doc").alias("__doc"), F.col("k_text").alias("__text"))
-    n = drop.count()
+    found = stored(groups(docs, segments, radius).groupBy("k_doc", "k_text").agg(F.max("keep").alias("keep"), F.sum("n_rows").alias("n_rows")), "kept")
+    known = found.select(F.col("k_doc").alias("__doc"), F.col("k_text").alias("__text"), "keep", "n_rows")
     doc, text = row_key(docs["doc_id"], docs["text"])
-    kept = docs.join(maybe_broadcast(drop, n, 48), F.col("__doc").eqNullSafe(doc) & (F.col("__text") == text), "left_anti")
-    return kept
+    same = F.col("__doc").eqNullSafe(doc) & (F.col("__text") == text)
+    # What occurs once and stays needs no join; only repeats of what stays are shuffled with their texts.
+    apart = known.where("not keep or n_rows > 1").select("__doc", "__text")
+    kept = docs.join(maybe_broadcast(apart, apart.count(), 48), same, "left_anti")
+    repeated = known.where("keep and n_rows > 1").select("__doc", "__text")
+    n = repeated.count()
+    if not n:
+        return kept
+    once = docs.join(maybe_broadcast(repeated, n, 48), same).dropDuplicates(["__doc", "__text"])
+    return kept.unionByName(once.select(*[docs[c] for c in docs.columns]))

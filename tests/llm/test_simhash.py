@@ -106,3 +106,11 @@ def test_long_text(spark):
     long = " ".join(f"word{k % 9000}" for k in range(40000))
     rows = [(1, long), (2, long + " tail"), (3, TEXT)]
     assert [r[2] for r in found(spark.createDataFrame(rows, "doc_id long, text string"))] == [[1, 2], [3]]
+
+
+def test_repeats_of_what_stays_are_kept_once(spark):
+    """A shard read twice: each row with words comes out once, with all columns; rows without words are left alone."""
+    rows = [(3, TEXT, 1), (4, TEXT.upper(), 1), (None, "something else entirely different", 1), (7, "", 1), (8, None, 1), (5, "quite another text about harbours", 1)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, n_chars long")
+    got = sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[5], *[rows[3], rows[4]] * 2], key=str)
