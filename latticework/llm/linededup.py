@@ -18,9 +18,9 @@ all features are candidates, and the edit similarity of the normalised lines,
 against one of their number; what that doesn't connect is compared pair by
 pair, so that large groups cost little and no pair that matters is left out.
 One occurrence of each connected group stays: the one in the lowest doc_id,
-then content hash, then line number.  Lines of fewer than `MIN_CHARS`
-characters, or of fewer than `MIN_WORDS` words and `LONG` characters, are left
-alone.
+then content hash, then line number.  Equal lines are one whatever their
+length; near matching leaves out lines of fewer than `MIN_CHARS` characters, or
+of fewer than `MIN_WORDS` words and `LONG` characters.
 """
 
 from __future__ import annotations
@@ -116,13 +116,14 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(k_doc, k_text, line_no, h1, h2, sig, blocks): each line that is long enough, with hashes, SimHash and blocks of its normalised form.
+    """(k_doc, k_text, line_no, h1, h2, sig, blocks): each line whose normalised form isn't empty, with that form's hashes, SimHash and blocks.
 
-    A task gives a line's blocks where it meets the line first, null elsewhere.
+    A task gives a line's blocks where it meets the line first, null elsewhere
+    and for lines that are too short for near matching.
     """
     # The normal form is an element of the exploded array: as a column it would be computed again for each use.
-    lines = _rows(docs).select("k_doc", "k_text", F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("line_no", "text")).where(_long_enough(F.col("text")))
-    lines = lines.select("k_doc", "k_text", "line_no", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "text")
+    lines = _rows(docs).select("k_doc", "k_text", F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("line_no", "text")).where("text <> ''")
+    lines = lines.select("k_doc", "k_text", "line_no", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.when(_long_enough(F.col("text")), F.col("text")).alias("text"))
 
     def run(batches):
         met: set[int] = set()
@@ -133,6 +134,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 new = [k for k, v in zip(at.tolist(), values.tolist()) if v not in met]
                 met.update(values.tolist())
                 fresh[new] = True
+                fresh &= part.column("text").is_valid().to_numpy(zero_copy_only=False)
                 sig, keys, first = block_keys(part.column("text"))
                 keep = np.repeat(fresh, np.diff(first))
                 sizes = np.where(fresh, np.diff(first), 0)

@@ -155,3 +155,14 @@ def test_edit_distances_against_the_table():
         allowed = true + d
         assert np.array_equal(editdistance.within(left, right, allowed), true <= allowed)
         assert np.array_equal(editdistance.within(right, left, allowed), true <= allowed)
+
+
+def test_equal_lines_of_any_length(spark):
+    """Short lines and lines without spaces are kept once if they are equal; near matching leaves them alone."""
+    lines = ["All rights reserved", "of edti oner", "ok", "这是一个没有空格的句子它有二十多个字符长度", "Home"]
+    rows = [(1, "\n".join([*lines, "Homes", "", "---"])), (2, "\n".join(["", "---", "ALL RIGHTS RESERVED.", *lines[1:], "mine"])), (3, lines[0] + "\nAll rights reservd")]
+    found = decisions(spark, rows)
+    assert set(found) == {(1, k) for k in range(5)} | {(2, k) for k in range(2, 7)} | {(3, 0)}
+    assert all(r["keep"] == (d == 1) for (d, _), r in found.items())
+    left = {r["doc_id"]: r["text"] for r in linededup.drop_lines(docs_of(spark, rows)).collect()}
+    assert left == {1: rows[0][1], 2: "\n---\nmine", 3: "All rights reservd"}
