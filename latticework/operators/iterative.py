@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import Graph
-from ..storage import drop_stored, stored
+from ..storage import drop_stored, fingerprint, shared_dir, stored
 
 
 def reachable(g: Graph, start: str) -> DataFrame:
-    """Nodes reachable from `start` over edges of any relation, through dangling ids too, without `start` itself."""
+    """Nodes reachable from `start` over edges of any relation, through dangling ids too, without `start` itself.
+
+    Each round writes its frontier alone, into one folder that is read as the
+    set of what was seen.
+    """
     spark = g.nodes.sparkSession
     adjacency = stored(g.adjacency(), "adjacency")
-    seen = frontier = stored(spark.createDataFrame([(start,)], "id string"), "seen")
+    folder, rounds = f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}", 0
+    at = lambda r: spark.read.schema("id string").parquet(f"{folder}/round={r}")
+    spark.createDataFrame([(start,)], "id string").write.parquet(f"{folder}/round=0")
     while True:
-        after = adjacency.join(frontier.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        after = stored(after.join(seen, "id", "left_anti"), "frontier")
-        if after.isEmpty():
+        after = adjacency.join(at(rounds).withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+        after.join(spark.read.schema("id string").parquet(folder), "id", "left_anti").write.parquet(f"{folder}/round={rounds + 1}")
+        rounds += 1
+        if at(rounds).isEmpty():
             break
-        frontier, seen = after, stored(seen.unionByName(after), "seen")
+    drop_stored(adjacency)
+    seen = spark.read.schema("id string").parquet(folder)
     return g.nodes.join(seen.where(F.col("id") != start), "id", "left_semi").select(g.nodes.columns)
 
 
@@ -32,8 +42,7 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     a, b = pairs.columns[:2]
     state = stored(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "stars")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-    before, by_u = mark(state), Window.partitionBy("u")
+    before, by_u = fingerprint(state), Window.partitionBy("u")
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -41,7 +50,7 @@ def components(pairs: DataFrame) -> DataFrame:
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         after = stored(small.select(F.inline(ends)).where("u <> v").distinct(), "stars")
         drop_stored(state)
-        state, now = after, mark(after)
+        state, now = after, fingerprint(after)
         if now == before:
             break
         before = now

@@ -13,9 +13,12 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder that becomes it."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, as in tests, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", "")
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="latticework-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -28,14 +31,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table made by `stored`."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables made by `stored`."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if rows * row_bytes is within BROADCAST_BYTES; else Spark's shuffled join stands."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def fingerprint(df: DataFrame) -> tuple:
+    """(rows, sum, exclusive or) of the rows' 64-bit hashes: tells whether a round changed a table."""
+    row = F.xxhash64(*df.columns)
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first())
