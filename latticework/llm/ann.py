@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import mapped, stored
 
 GROUP_ROWS = 4096
 QUERY_ROWS = 16384
@@ -161,7 +161,7 @@ def nearest(vectors: DataFrame, params: Params | None = None, id_column: str = "
                 key = ids % blocks if t == ALL else hashes.keys(hashes.slots(hashes.project(x, t)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(key), batch.column("id"), batch.column("v")], ["t", "bucket", "id", "v"])
 
-    entry = rows.mapInArrow(entries, "t int, bucket long, id long, v array<float>")
+    entry = mapped(rows, entries, "t int, bucket long, id long, v array<float>")
     sizes = stored(entry.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
     # Buckets in key order fill groups; one of more than GROUP_ROWS rows is cut into chunks that all its queries visit.
     grouped = sizes.withColumn("chunks", F.ceil(F.col("n") / GROUP_ROWS).cast("int")).withColumn("fill", F.sum(F.least("n", F.lit(GROUP_ROWS))).over(Window.partitionBy("t").orderBy("bucket")))
@@ -257,9 +257,9 @@ def nearest(vectors: DataFrame, params: Params | None = None, id_column: str = "
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
         return pa.table({"id": pa.array(join(out_q, np.int64)), "neighbor_id": pa.array(join(out_n, np.int64)), "distance": pa.array(join(out_d, np.float64))})
 
-    first = stored(reached(rows.mapInArrow(first_visits, "t int, bucket long, id long"), entry.where(F.col("t") != ALL)), "first-neighbours")
+    first = stored(reached(mapped(rows, first_visits, "t int, bucket long, id long"), entry.where(F.col("t") != ALL)), "first-neighbours")
     asking = rows.join(first, "id", "left").select("id", "v", F.coalesce(F.get("best", F.lit(p.k - 1))["distance"], F.lit(float("inf"))).alias("kth"))
-    best = reached(asking.mapInArrow(visits, "t int, bucket long, id long"), entry)
+    best = reached(mapped(asking, visits, "t int, bucket long, id long"), entry)
     # What was found at first may lie outside the buckets that were visited then.
     best = best.unionByName(first).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, p.k).alias("best"))
     ranked = best.select("id", F.posexplode("best").alias("rank", "n"))

@@ -23,9 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textvec as tv
+from .common import mapped
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fragments repeat within a slice: larger ones than other kernels' pay.
+SLICE_BYTES = 2 << 20
 #: Distinct fragments that a worker remembers between slices.
 MEMORY = 600_000
 
@@ -197,7 +200,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_column: str = "
     def run(batches):
         bpe = codec(shared.value)
         for batch in batches:
-            for part in tv.slices(batch, "text"):
+            for part in tv.slices(batch, "text", SLICE_BYTES):
                 texts = part.column("text")
                 data, at = tv.buffers(texts)
                 ids, offsets = bpe.encode(texts)
@@ -216,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_column: str = "
                 )
 
     source = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, tokens array<int>, n_tokens long, n_bytes long, round_trip boolean")
+    return mapped(source, run, "doc_id long, tokens array<int>, n_tokens long, n_bytes long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -233,4 +236,4 @@ def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [data[a:b].tobytes().decode("utf-8", errors="replace") for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.if_else(tokens.is_valid(), pa.array(texts, type=pa.string()), None)], ["doc_id", "text"])
 
-    return encoded.select(encoded["doc_id"].cast("long"), encoded["tokens"].cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+    return mapped(encoded.select(encoded["doc_id"].cast("long"), encoded["tokens"].cast("array<int>")), run, "doc_id long, text string")

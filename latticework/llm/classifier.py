@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import mapped
 
 _U = np.uint64
 
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> M
 
     def extract(batches):
         for batch in batches:
-            for part in tv.slices(batch, "text", 1 << 20):
+            for part in tv.slices(batch, "text"):
                 bucket, row = features(part.column("text"), p.buckets)
                 keys, counts = np.unique(row.astype(np.int64) * p.buckets + bucket, return_counts=True)
                 bounds = np.searchsorted(keys, np.arange(len(part) + 1, dtype=np.int64) * p.buckets).astype(np.int32)
@@ -130,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> M
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__label"), *lists], ["doc_id", "label", "ids", "counts"]).filter(pa.array(np.diff(bounds) > 0))
 
     # At most `sample` documents' features; sorted, so that the model doesn't depend on their order.
-    got = rows.mapInArrow(extract, "doc_id long, label int, ids array<int>, counts array<int>").toArrow().combine_chunks()
+    got = mapped(rows, extract, "doc_id long, label int, ids array<int>, counts array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return Model(None, 0.0)
     size = pc.list_value_length(got.column("ids"))
@@ -157,7 +158,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = Params.threshold)
                 some = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) > 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= threshold) & some)], ["doc_id", "p_good", "keep"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, p_good double, keep boolean")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, "doc_id long, p_good double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = Params.threshold) -> DataFrame:
@@ -177,4 +178,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = Params.threshold
                 kept = part.filter(pa.array((own.probability(texts) >= threshold) & some))
                 yield pa.RecordBatch.from_arrays(kept.columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -2,46 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Largest estimated size, in bytes, of a side that is sent to every executor.
-BROADCAST_BYTES = 32 << 20
+from ..operators.iterative import components
+from ..storage import drop_stored, maybe_broadcast, shared_dir, stored
 
+#: Bytes of an Arrow batch: a task holds several copies of one, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", "")
-    if not where:
-        where = tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow(run, schema)` with batches of at most `BATCH_BYTES` or one row, whatever the rows' sizes; lowers the session's bound."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table made by `stored`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """A broadcast hint if rows * row_bytes is within BROADCAST_BYTES; else Spark's shuffled join stands."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    # As a plain number or with b, which the default has; another unit is the user's own choice.
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH))
+    if now and int(now[1]) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
@@ -49,36 +30,8 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [doc_id.cast("long").alias("k_doc"), F.xxhash64(text).alias("k_text")]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected graph: edges (a long, b long) -> (node, component), component the least node.
-
-    Alternating large-star and small-star (Kiveris et al., 2014); each round is
-    a written table.  Self loops and null ends are ignored; an empty input
-    gives an empty result.
-    """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs, last = stored(pairs, "components"), None
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", lowest).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = stored(small, "components")
-        now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if last is None:
-            last = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        drop_stored(pairs)
-        pairs = after
-        if tuple(now) == tuple(last):
-            break
-        last = now
-    roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["BROADCAST_BYTES", "components", "documents", "drop_stored", "maybe_broadcast", "row_key", "shared_dir", "stored"]
+__all__ = ["components", "documents", "drop_stored", "mapped", "maybe_broadcast", "row_key", "shared_dir", "stored"]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from . import bpe
 from . import textvec as tv
+from .common import mapped
 
 VOCABULARIES = {"byte_en": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_multi": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
 
@@ -132,7 +133,7 @@ def fertility(docs: DataFrame, vocabularies: dict[str, str] | None = None, bands
     def run(batches):
         encoders = {v: _encoder(v, path, content.value) for v, (path, content) in shared.items()}
         for batch in batches:
-            for part in tv.slices(batch, "text"):
+            for part in tv.slices(batch, "text", bpe.SLICE_BYTES):
                 texts, lang = part.column("text"), part.column("lang")
                 data, at = tv.buffers(texts)
                 script = scripts(data, at)
@@ -159,4 +160,4 @@ def fertility(docs: DataFrame, vocabularies: dict[str, str] | None = None, bands
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lang, pa.array(SCRIPTS).take(pa.array(script)), pa.array(chars.astype(np.int64)), *columns, pa.array(keep), reason], names)
 
     source = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["lang"].cast("string"))
-    return source.mapInArrow(run, f"doc_id long, lang string, script string, n_chars long{per}, keep boolean, reason string")
+    return mapped(source, run, f"doc_id long, lang string, script string, n_chars long{per}, keep boolean, reason string")

@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from . import editdistance
 from . import textvec as tv
-from .common import components, drop_stored, maybe_broadcast, stored
+from .common import components, drop_stored, mapped, maybe_broadcast, stored
 
 RADIUS = 16
 SIMILARITY = 0.9
@@ -141,7 +141,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 blocks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(keys[keep].view(np.int64)), mask=pa.array(~fresh))
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sig.view(np.int64)), blocks], ["k_doc", "k_text", "line_no", "h1", "h2", "sig", "blocks"])
 
-    return lines.mapInArrow(run, "k_doc long, k_text long, line_no int, h1 long, h2 int, sig long, blocks array<long>")
+    return mapped(lines, run, "k_doc long, k_text long, line_no int, h1 long, h2 int, sig long, blocks array<long>")
 
 
 def _node() -> Column:
@@ -187,7 +187,7 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: f
                 allowed = np.floor(np.array([max(len(s), len(t)) for s, t in zip(x, y)]) * (1 - similarity) + 1e-9).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(editdistance.within(x, y, allowed)))
 
-    out = stored(near.mapInArrow(run, "a long, b long"), "near-lines")
+    out = stored(mapped(near, run, "a long, b long"), "near-lines")
     drop_stored(text)
     return out
 

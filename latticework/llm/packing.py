@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from . import bpe
 from . import textvec as tv
-from .common import stored
+from .common import mapped, stored
 
 CAPACITY = 4096
 PART_ITEMS = 16384
@@ -81,10 +81,10 @@ def token_counts(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     def run(batches):
         codec = bpe.codec(shared.value)
         for batch in batches:
-            for part in tv.slices(batch, "text"):
+            for part in tv.slices(batch, "text", bpe.SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(codec.count(part.column("text")))], ["doc_id", "n_tokens"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, "doc_id long, n_tokens long")
 
 
 _ITEM = "doc_id long, chunk long, start_token long, n_tokens long, part long"

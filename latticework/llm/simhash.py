@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import components, maybe_broadcast, row_key, stored
+from .common import components, mapped, maybe_broadcast, row_key, stored
 
 SEGMENTS = 6
 RADIUS = 17
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("k_doc"), part.column("k_text"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], ["k_doc", "k_text", "hi", "lo"]).filter(mask)
 
     source = docs.select(*row_key(docs["doc_id"], docs["text"]), docs["text"].cast("string").alias("text")).where("text is not null")
-    return source.mapInArrow(run, "k_doc long, k_text long, hi long, lo long")
+    return mapped(source, run, "k_doc long, k_text long, hi long, lo long")
 
 
 def _widths(bits: int, segments: int) -> list[int]:

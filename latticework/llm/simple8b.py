@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from . import bpe
 from . import textvec as tv
+from .common import mapped
 
 BLOCK = 1024
 _U = np.uint64
@@ -159,11 +160,11 @@ def pack_documents(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     def run(batches):
         codec = bpe.codec(shared.value)
         for batch in batches:
-            for part in tv.slices(batch, "text"):
+            for part in tv.slices(batch, "text", bpe.SLICE_BYTES):
                 ids, offsets = codec.encode(part.column("text"))
                 yield _coded(part, ids, offsets, part.column("text").is_valid())
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, _SCHEMA)
+    return mapped(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _SCHEMA)
 
 
 def pack_ids(rows: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def pack_ids(rows: DataFrame) -> DataFrame:
             sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
             yield _coded(batch, flat, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), tokens.is_valid())
 
-    return rows.select(rows["doc_id"].cast("long"), rows["tokens"].cast("array<long>")).mapInArrow(run, _SCHEMA)
+    return mapped(rows.select(rows["doc_id"].cast("long"), rows["tokens"].cast("array<long>")), run, _SCHEMA)
 
 
 def unpack_documents(packed: DataFrame) -> DataFrame:
@@ -197,4 +198,4 @@ def unpack_documents(packed: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=pc.invert(payload.is_valid()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "tokens"])
 
-    return packed.select("doc_id", "n_tokens", "block_offsets", "payload").mapInArrow(run, "doc_id long, tokens array<long>")
+    return mapped(packed.select("doc_id", "n_tokens", "block_offsets", "payload"), run, "doc_id long, tokens array<long>")

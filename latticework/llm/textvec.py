@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
 _PINV = _U(pow(int(_P), -1, 1 << 64))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import mapped
 
 _U = np.uint64
 
@@ -172,7 +173,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: st
 
     source = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].cast("string").alias("url"))
     source = source.withColumn("canonical_url", canonical(F.col("url")))
-    return source.mapInArrow(run, "page_id long, url string, canonical_url string, rules string, keep boolean")
+    return mapped(source, run, "page_id long, url string, canonical_url string, rules string, keep boolean")
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
