@@ -128,24 +128,26 @@ def betweenness(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     return nodes.join(total, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def cycles(links: DataFrame, longest: int = 8) -> DataFrame:
-    """(cycle array<string>): simple cycles of up to `longest` members in a digraph (source, target), each once, closed, least member first.
+def cycles(links: DataFrame, longest: int | None = None) -> DataFrame:
+    """(cycle array<string>): simple cycles in a digraph (source, target), each once, closed, least member first.
 
     Paths start at their least member and never visit a smaller one, so each
-    cycle is found once.  Meant for graphs of groups (repos), which are small.
+    cycle is found once.  Meant for graphs of groups (repos), which are small:
+    a dense graph has more cycles than can be listed, whatever lists them.
+    `longest` leaves out cycles of more members.
     """
     links = stored(links.select("source", "target").where("source <> target").distinct(), "links")
-    paths = links.where("source < target").select(F.array("source", "target").alias("path"), F.col("target").alias("at"))
-    found = []
     hop = links.select(F.col("source").alias("at"), F.col("target").alias("next"))
-    for _ in range(longest - 1):
-        paths = stored(paths, "paths")
-        if paths.isEmpty():
-            break
+    paths = stored(links.where("source < target").select(F.array("source", "target").alias("path"), F.col("target").alias("at")), "paths")
+    found, members = [], 2
+    while not paths.isEmpty() and (longest is None or members <= longest):
         ahead = paths.join(hop, "at")
-        found.append(ahead.where(F.col("next") == F.col("path")[0]).select(F.concat("path", F.array("next")).alias("cycle")))
+        found.append(stored(ahead.where(F.col("next") == F.col("path")[0]).select(F.concat("path", F.array("next")).alias("cycle")), "cycles"))
         ahead = ahead.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next")))
-        paths = ahead.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"))
+        longer = stored(ahead.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")), "paths")
+        drop_stored(paths)
+        paths, members = longer, members + 1
+    drop_stored(paths)
     if not found:
         return links.sparkSession.createDataFrame([], "cycle array<string>")
     out = found[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import Graph
+from ..storage import maybe_broadcast
 from . import iterative
 
 WEIGHTS = ("in_degree", "out_degree", "betweenness", "pagerank")
@@ -38,10 +39,12 @@ def hot_paths(g: Graph, top_n: int = 20, weight: str = "in_degree", pagerank_rou
         found = found.join(iterative.pagerank(g, fixed=pagerank_rounds), "id")
     else:
         found = found.withColumn("score", F.col(weight if weight in WEIGHTS else "in_degree").cast("double"))
-    top = g.nodes.select("ord", "id").join(found, "id").orderBy(F.col("score").desc(), "ord").limit(top_n)
+    # Sums whose last bits differ tie.
+    best = [F.round("score", 12).desc(), F.col("ord")]
+    top = g.nodes.select("ord", "id").join(found, "id").orderBy(*best).limit(top_n)
     # The window follows the limit: its one partition holds top_n rows.
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "ord"))).drop("ord")
-    return g.nodes.join(F.broadcast(top), "id")
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*best))).drop("ord")
+    return g.nodes.join(maybe_broadcast(top, top_n, 100), "id")
 
 
 def hot_paths_per_repo(g: Graph, top: int = 5) -> DataFrame:

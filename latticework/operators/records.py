@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,16 +13,14 @@ from . import communities, iterative, ranking, usage
 from .relations import cross_repo_edges
 
 
-def repo_cycles(g: Graph, longest: int = 8) -> DataFrame:
-    """(cycle): simple cycles of repos that call one another, closed, least repo first."""
+def repo_cycles(g: Graph, longest: int | None = None) -> DataFrame:
+    """(cycle): simple cycles of repos that call one another, closed, least repo first; `longest` bounds their members."""
     return iterative.cycles(cross_repo_edges(g).select(F.col("source_repo").alias("source"), F.col("target_repo").alias("target")), longest)
 
 
-def _text(s: str, **columns):
+def _text(template: str, /, **columns):
     """A Column of a template with {named} columns."""
-    import re
-
-    parts = re.split(r"\{(\w+)\}", s)
+    parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[columns[p].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts) if p or k % 2])
 
 
@@ -28,7 +28,7 @@ def _record(df: DataFrame, rule: int, order, tags: list, **texts) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), order.cast("string").alias("place"), *[(c if not isinstance(c, str) else F.lit(c)).alias(k) for k, c in texts.items()], F.array(*[F.lit(t) if isinstance(t, str) else t for t in tags]).alias("tags"))
 
 
-def decision_records(g: Graph, date=None, longest_cycle: int = 8) -> DataFrame:
+def decision_records(g: Graph, date=None, longest_cycle: int | None = None) -> DataFrame:
     """Numbered proposals: (id, title, status, date, decision, context, consequences, alternatives, tags).
 
     Five rules in order: calls between repos, communities of several languages,
@@ -46,7 +46,7 @@ def decision_records(g: Graph, date=None, longest_cycle: int = 8) -> DataFrame:
         alternatives="Put a service interface or a queue between them, with a documented contract.",
     )
     found = communities.communities(g, mixed=True).where("dominant_language = 'mixed'")
-    langs = F.array_join(F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    langs = F.array_join(F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
     two = _record(
         found, 2, F.format_string("%020d", "number"), ["mixed-language", "community", "polyglot"],
         title=_text("Community of several languages: {l}", l=langs),

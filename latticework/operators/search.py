@@ -1,36 +1,90 @@
-"""Weighted n-gram search (BM25) and its combination with structural similarity."""
+"""Weighted n-gram search (BM25) and its combination with structural similarity.
+
+A single search needs, of each node, the number of its distinct n-grams and the
+weights of the few n-grams that the query has.  Both come from the node's own
+row, so that no text is shuffled; only the names of called nodes travel.  For
+searching again and again there is a stored index, laid out by n-gram.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import Graph
+from ..storage import maybe_broadcast, stored
 from . import similarity
 from .stats import min_max
 
 K1, B = 1.5, 0.75
+#: A node's n-grams from called names are put beside its own if there are at most so many; with more of them they are joined as rows.
+CALLS = 4096
+#: Folders that the postings of a stored index are dealt to.
+BUCKETS = 64
 
 
-def ngram_index(g: Graph, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(id, ngram, weight): 3 for each place in the name, 1.5 in the docstring, 1 in the signature, 1 in a called node's name.
+def _parts(sizes: tuple[int, ...]) -> list[tuple[str, Column, float]]:
+    """(name, n-grams, weight) of what a node's own row has."""
+    return [
+        ("name_grams", text.ngrams(text.split_identifier(F.col("name")), sizes), 3.0),
+        ("doc_grams", text.extract_ngrams(F.col("docstring"), max(sizes)), 1.5),
+        ("sig_grams", text.ngrams(text.signature_tokens(F.col("signature")), sizes), 1.0),
+    ]
 
-    Write it partitioned or sorted by ngram to search it again and again.
-    """
+
+def _called(g: Graph, sizes: tuple[int, ...]) -> DataFrame:
+    """(id, ngram) for each place in the names of the nodes that a node calls."""
     n = g.nodes
-    parts = [
-        n.select("id", F.explode(text.ngrams(text.split_identifier(F.col("name")), sizes)).alias("ngram"), F.lit(3.0).alias("w")),
-        n.select("id", F.explode(text.extract_ngrams(F.col("docstring"), max(sizes))).alias("ngram"), F.lit(1.5).alias("w")),
-        n.select("id", F.explode(text.ngrams(text.signature_tokens(F.col("signature")), sizes)).alias("ngram"), F.lit(1.0).alias("w")),
-    ]
     calls = g.edges.where("relation = 'calls'").join(n.select(F.col("id").alias("target"), F.col("name").alias("callee")), "target").where("callee <> ''")
     calls = calls.join(n.select(F.col("id").alias("source")), "source", "left_semi")
-    parts.append(calls.select(F.col("source").alias("id"), F.explode(text.ngrams(text.split_identifier(F.col("callee")), sizes)).alias("ngram"), F.lit(1.0).alias("w")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("id", "ngram").agg(F.sum("w").alias("weight"))
+    return calls.select(F.col("source").alias("id"), F.explode(text.ngrams(text.split_identifier(F.col("callee")), sizes)).alias("ngram"))
+
+
+def ngram_index(g: Graph, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(id, ngram, weight): 3 for each place in the name, 1.5 in the docstring, 1 in the signature, 1 in a called node's name."""
+    # A node's own n-grams are counted within its row; what is shuffled are distinct ones.
+    own = None
+    for _, grams, weight in _parts(sizes):
+        part = g.nodes.select("id", F.explode(grams).alias("ngram"), F.lit(weight).alias("w"))
+        own = part if own is None else own.unionByName(part)
+    return own.unionByName(_called(g, sizes).withColumn("w", F.lit(1.0))).groupBy("id", "ngram").agg(F.sum("w").alias("weight"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings (id, ngram, weight, bucket), lengths (id, dl), corpus (n, avgdl)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    corpus: DataFrame
+    buckets: int
+
+
+def _bucket(ngram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(ngram), F.lit(buckets)).cast("int")
+
+
+def write_index(g: Graph, path: str, sizes: tuple[int, ...] = (1, 2, 3), buckets: int = BUCKETS) -> Index:
+    """Write the n-gram index of a graph under `path`: a folder per bucket of n-grams, sorted by n-gram within its files."""
+    spark = g.nodes.sparkSession
+    postings = ngram_index(g, sizes).withColumn("bucket", _bucket(F.col("ngram"), buckets))
+    # Range partitions cut hot n-grams, whose postings a partition by bucket would have to hold together.
+    postings = postings.repartitionByRange("bucket", "ngram", F.xxhash64("id")).sortWithinPartitions("bucket", "ngram")
+    postings.write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths = spark.read.parquet(f"{path}/postings").groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
+    lengths.write.parquet(f"{path}/lengths")
+    spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/corpus")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """The index that `write_index` wrote."""
+    corpus = spark.read.parquet(f"{path}/corpus")
+    postings = spark.read.schema("id string, ngram string, weight double, bucket int").parquet(f"{path}/postings")
+    return Index(postings, spark.read.schema("id string, dl long").parquet(f"{path}/lengths"), corpus.select("n", "avgdl"), corpus.first()["buckets"])
 
 
 def query_ngrams(spark, query: str, max_n: int = 3) -> DataFrame:
@@ -38,16 +92,66 @@ def query_ngrams(spark, query: str, max_n: int = 3) -> DataFrame:
     return spark.range(1).select(F.posexplode(text.extract_ngrams(F.lit(query), max_n)).alias("place", "ngram"))
 
 
-def bm25(g: Graph, query: str, index: DataFrame | None = None, k1: float = K1, b: float = B, max_n: int = 3) -> DataFrame:
-    """(id, score, matched) of the nodes that score above 0; a repeated query n-gram counts again."""
-    index = ngram_index(g) if index is None else index
-    asked = F.broadcast(query_ngrams(g.nodes.sparkSession, query, max_n))
-    # One pass for lengths; the corpus figures are one row, document frequencies as many as the query has n-grams.
-    lengths = index.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = index.join(F.broadcast(asked.select("ngram").distinct()), "ngram")
+def _profiles(g: Graph, asked: list[str], max_n: int) -> DataFrame:
+    """(id, dl, hits array<(ngram, weight)>) of every node that has an n-gram: its number of distinct ones, and those that are asked for."""
+    sizes = tuple(range(1, max_n + 1))
+    called = stored(_called(g, sizes).groupBy("id", "ngram").agg(F.count(F.lit(1)).alias("n")), "called-ngrams")
+    per = called.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    few = called.join(per.where(F.col("k") <= CALLS), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("ngram", "n")).alias("calls"))
+    nothing = F.array().cast("array<struct<ngram:string,n:long>>")
+    nodes = g.nodes.select("id", "name", "docstring", "signature").join(few, "id", "left").withColumn("calls", F.coalesce("calls", nothing))
+    parts = _parts(sizes)
+
+    def measured(s):
+        hit = lambda grams: F.filter(grams, lambda x: x.isin(*asked))
+        every = F.array_distinct(F.concat(*[s[name] for name, _, _ in parts], F.transform(s["calls"], lambda c: c["ngram"])))
+        # A lambda's second parameter would be the place.
+        weigh = lambda w: lambda x: F.struct(x.alias("ngram"), F.lit(w).alias("w"))
+        own = [F.transform(hit(s[name]), weigh(w)) for name, _, w in parts]
+        calls = F.transform(F.filter(s["calls"], lambda c: c["ngram"].isin(*asked)), lambda c: F.struct(c["ngram"].alias("ngram"), c["n"].cast("double").alias("w")))
+        return F.struct(F.size(every).cast("long").alias("dl"), F.concat(*own, calls).alias("hits"))
+
+    # Bound by a lambda, the n-grams of a row are made once.
+    row = F.struct(*[grams.alias(name) for name, grams, _ in parts], F.col("calls").alias("calls"))
+    out = nodes.select("id", F.get(F.transform(F.array(row), measured), F.lit(0)).alias("m")).select("id", "m.dl", "m.hits")
+    many = per.where(F.col("k") > CALLS).select("id")
+    if many.isEmpty():
+        return out.where("dl > 0")
+    # Nodes with more: their n-grams as rows.
+    rows = ngram_index(Graph(g.nodes.join(many, "id", "left_semi"), g.edges.limit(0)), sizes)
+    rows = rows.unionByName(called.join(many, "id", "left_semi").select("id", "ngram", F.col("n").cast("double").alias("weight"))).groupBy("id", "ngram").agg(F.sum("weight").alias("weight"))
+    hit = F.when(F.col("ngram").isin(*asked), F.struct("ngram", F.col("weight").alias("w")))
+    rows = rows.groupBy("id").agg(F.count(F.lit(1)).alias("dl"), F.collect_list(hit).alias("hits"))
+    return out.join(many, "id", "left_anti").where("dl > 0").unionByName(rows)
+
+
+def bm25(g: Graph, query: str, index: DataFrame | Index | None = None, k1: float = K1, b: float = B, max_n: int = 3) -> DataFrame:
+    """(id, score, matched) of the nodes that score above 0; a repeated query n-gram counts again.
+
+    `index` is a stored index or a table as `ngram_index` makes it; without
+    one, nodes are measured row by row.
+    """
+    spark = g.nodes.sparkSession
+    # As many rows as the query has n-grams.
+    asked = query_ngrams(spark, query, max_n)
+    grams = sorted({r["ngram"] for r in asked.collect()})
+    if not grams:
+        return spark.createDataFrame([], "id string, score double, matched array<string>")
+    if isinstance(index, Index):
+        buckets = [r[0] for r in spark.createDataFrame([(x,) for x in grams], "ngram string").select(_bucket(F.col("ngram"), index.buckets)).distinct().collect()]
+        hits = index.postings.where(F.col("bucket").isin(*buckets) & F.col("ngram").isin(*grams)).select("id", "ngram", "weight").join(index.lengths, "id")
+        corpus = index.corpus
+    elif index is not None:
+        lengths = index.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
+        corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        hits = index.where(F.col("ngram").isin(*grams)).join(lengths, "id")
+    else:
+        profiles = stored(_profiles(g, grams, max_n), "search-profiles")
+        corpus = profiles.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        hits = profiles.where(F.size("hits") > 0).select("id", "dl", F.inline("hits")).groupBy("id", "dl", "ngram").agg(F.sum("w").alias("weight"))
     df = hits.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(asked, "ngram").join(F.broadcast(df), "ngram").join(lengths, "id").crossJoin(F.broadcast(corpus))
+    # One row, and one or a few for each n-gram of the query.
+    rows = hits.join(F.broadcast(asked), "ngram").join(F.broadcast(df), "ngram").crossJoin(F.broadcast(corpus))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     tf = F.col("weight")
     part = idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -58,16 +162,23 @@ def bm25(g: Graph, query: str, index: DataFrame | None = None, k1: float = K1, b
     return rows.groupBy("id").agg(score.alias("score"), matched.alias("matched")).where("score > 0")
 
 
-def search(g: Graph, query: str, top_k: int = 10, index: DataFrame | None = None, max_n: int = 3) -> DataFrame:
+def _best(score: str = "score") -> list[Column]:
+    """Order of ranking: sums whose last bits differ tie, and ties go by insertion."""
+    return [F.round(score, 9).desc(), F.col("ord")]
+
+
+def search(g: Graph, query: str, top_k: int = 10, index: DataFrame | Index | None = None, max_n: int = 3) -> DataFrame:
     """The `top_k` nodes by BM25: id, name, score, matched, snippet, ord."""
-    top = g.nodes.select("id", "ord").join(bm25(g, query, index, max_n=max_n), "id").orderBy(F.col("score").desc(), "ord").limit(top_k)
-    return g.nodes.drop("ord").join(F.broadcast(top), "id").select("id", "name", "score", "matched", text.snippet().alias("snippet"), "ord").orderBy(F.col("score").desc(), "ord")
+    top = g.nodes.select("id", "ord").join(bm25(g, query, index, max_n=max_n), "id").orderBy(*_best()).limit(top_k)
+    found = g.nodes.drop("ord").join(maybe_broadcast(top, top_k, 500), "id")
+    return found.select("id", "name", "score", "matched", text.snippet().alias("snippet"), "ord").orderBy(*_best())
 
 
-def hybrid_search(g: Graph, query: str, top_k: int = 10, alpha: float = 0.5, index: DataFrame | None = None) -> DataFrame:
+def hybrid_search(g: Graph, query: str, top_k: int = 10, alpha: float = 0.5, index: DataFrame | Index | None = None) -> DataFrame:
     """alpha * BM25 + (1 - alpha) * similarity to the best BM25 hit, each scaled to 0..1: id, score, ngram_score, sim_score, matched, features, ord."""
-    grams = search(g, query, 2 * top_k, index)
-    anchor = grams.orderBy(F.col("score").desc(), "ord").limit(1).select("id")
+    # At most 2 * top_k rows, read several times.
+    grams = stored(search(g, query, 2 * top_k, index), "search-hits")
+    anchor = grams.orderBy(*_best()).limit(1).select("id")
     alike = similarity.similar_to(g, anchor, 2 * top_k, "ast")
     a = min_max(grams.select("id", "score", "matched"), "score", "ngram_score").drop("score")
     b = min_max(alike.select("id", "score", F.col("matched").alias("features")), "score", "sim_score").drop("score")
@@ -78,5 +189,5 @@ def hybrid_search(g: Graph, query: str, top_k: int = 10, alpha: float = 0.5, ind
     )
     both = both.withColumn("score", alpha * F.col("ngram_score") + (1 - alpha) * F.col("sim_score"))
     # The cut comes first, then what scores nothing goes.
-    best = g.nodes.select("id", "ord").join(F.broadcast(both), "id").orderBy(F.col("score").desc(), "ord").limit(top_k)
+    best = g.nodes.select("id", "ord").join(maybe_broadcast(both, 4 * top_k, 500), "id").orderBy(*_best()).limit(top_k)
     return best.where("score > 0").select("id", "score", "ngram_score", "sim_score", "matched", "features", "ord")

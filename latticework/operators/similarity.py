@@ -34,8 +34,8 @@ def _score(method: str, a: str, b: str):
     return (calls * 0.4 + flow * 0.2 + types * 0.2 + same("kind") * 0.1 + same("language") * 0.1) / (0.4 + 0.2 + 0.2 + 0.1 + 0.1)
 
 
-def similar_to(g: Graph, anchor: DataFrame, top_k: int = 10, method: str = "jaccard") -> DataFrame:
-    """The `top_k` nodes most like the one in `anchor` (one id), of its kind or language: id, name, score, method, matched, ord."""
+def similar_to(g: Graph, anchor: DataFrame, top_k: int | None = 10, method: str = "jaccard") -> DataFrame:
+    """The `top_k` nodes (all if None) most like the one in `anchor` (one id), of its kind or language: id, name, score, method, matched, ord."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}: one of {', '.join(METHODS)}")
     all_nodes = features(g)
@@ -47,15 +47,17 @@ def similar_to(g: Graph, anchor: DataFrame, top_k: int = 10, method: str = "jacc
     constant = F.array(*[F.lit(x) for x in text.FEATURE_NAMES])
     matched = {"jaccard": shared, "cosine": constant, "ast": F.concat(shared, constant)}[method]
     scored = pairs.select("n.id", "n.name", "n.ord", _score(method, "t", "n").alias("score"), F.lit(method).alias("method"), matched.alias("matched"))
-    return scored.where("score > 0").orderBy(F.col("score").desc(), "ord").limit(top_k)
+    scored = scored.where("score > 0")
+    # Sums whose last bits differ tie, and ties go by insertion.
+    return scored if top_k is None else scored.orderBy(F.round("score", 9).desc(), "ord").limit(top_k)
 
 
-def find_similar(g: Graph, node: str, top_k: int = 10, method: str = "jaccard") -> DataFrame:
+def find_similar(g: Graph, node: str, top_k: int | None = 10, method: str = "jaccard") -> DataFrame:
     """The same for an id; an unknown id gives no rows."""
     return similar_to(g, g.nodes.where(F.col("id") == node).select("id"), top_k, method)
 
 
-def find_similar_by_name(g: Graph, node: str, top_k: int = 10, method: str = "ast") -> DataFrame:
+def find_similar_by_name(g: Graph, node: str, top_k: int | None = 10, method: str = "ast") -> DataFrame:
     """The same for an id, or else the first node of that name."""
     either = g.nodes.where((F.col("id") == node) | (F.col("name") == node)).orderBy((F.col("id") == node).desc(), "ord").limit(1)
     return similar_to(g, either.select("id"), top_k, method)

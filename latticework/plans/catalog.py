@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..model import Graph
 from ..operators import communities, filters, iterative, mutation, ranking, records, relations, search, similarity, stats, usage
+from ..sources import files, script_source, sinks
+from ..storage import shared_dir
 from .views import duck, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +44,7 @@ def _add(name: str, graph: str, build: Callable[[Graph], DataFrame], sql: str |
 
 
 # Filters and lookups
-_add("filter_nodes", "trade", lambda g: filters.nodes(g, language="FRANCE", limit=None).select("id", "name", "repo"), "select id, name, repo from nodes where language = 'FRANCE'")
+_add("filter_nodes", "trade", lambda g: filters.nodes(g, language="NATION_7", limit=None).select("id", "name", "repo"), "select id, name, repo from nodes where language = 'NATION_7'")
 _add("filter_nodes_limit", "trade", lambda g: filters.nodes(g, kind="class", limit=20).select("id", "ord"), "select id, ord from nodes where kind = 'class' order by ord limit 20")
 _add("node_lookup", "trade", lambda g: filters.api_nodes(filters.node(g, "S:7")).select("id", "name", "type", "file_path", "line_start", "line_end", "in_degree", "is_hot"), "select id, name, kind as type, filepath as file_path, line as line_start, line as line_end, 0 as in_degree, false as is_hot from nodes where id = 'S:7'")
 _add("filter_edges", "trade", lambda g: filters.api_edges(filters.edges(g, source="S:7", relation="calls")).groupBy("source", "target", "type", "weight").agg(F.count(F.lit(1)).alias("n")), "select source, target, relation as type, 1.0 as weight, count(*) as n from edges where source = 'S:7' and relation = 'calls' group by all")
@@ -70,15 +73,15 @@ _add("cross_repo_edges", "nations", lambda g: relations.cross_repo_edges(g).sele
 _add("resolved_targets", "custom", lambda g: relations.resolved_targets(g).select("ord", "source", "node"), "select e.ord, e.source, e.target as node from edges e where e.target in (select id from nodes) union all select e.ord, e.source, n.id from edges e join nodes n on e.target = n.name where e.target not in (select id from nodes)")
 _add("incoming_edges", "custom", relations.incoming, f"{_IN} select id, incoming from c")
 _add("call_names", "corpus", lambda g: relations.call_names(g).select("id", _joined("calls").alias("calls")), "select e.source as id, string_agg(distinct n.name, ',' order by n.name) as calls from edges e join nodes n on e.target = n.id where e.relation = 'calls' group by e.source")
-_STEM = "regexp_replace(regexp_extract(regexp_replace({c}, '/+$', ''), '([^/]*)$', 1), '^(.+)\\.[^.]+$', '\\1')"
-_add("cross_language", "web", lambda g: _cross_language(g), f"e as (select {_STEM.format(c='target')} as t from edges), b as (select {_STEM.format(c='filepath')} as t, id from nodes) select case when b.id is null then 'kept' else 'rewritten' end as kind, count(*) as n from e left join b using (t) group by 1")
+_add("cross_language", "custom", lambda g: _cross_language(g), "select e.ord, coalesce(n.id, e.target) as target, case when n.id is null then 'subprocess' else 'cross-language' end as relation from edges e left join nodes n on n.language = 'python' and n.name = e.target")
 _add("missing_repo_nodes", "web", lambda g: _missing_repos(g), "select distinct target as id, 'repo' as kind from edges where target not in (select id from nodes)")
 
 
 def _cross_language(g: Graph) -> DataFrame:
-    calls = g.edges.withColumns({"target": paths.file_stem(F.col("target")), "relation": F.lit("subprocess")})
-    done = relations.resolve_cross_language(Graph(g.nodes, calls), ("html",), ())
-    return done.edges.groupBy(F.when(F.col("relation") == "subprocess", "kept").otherwise("rewritten").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Every third order starts the program that its customer's file is named after."""
+    nodes = g.nodes.withColumn("filepath", F.concat(F.lit("/bin/"), "name", F.lit(".py")))
+    done = relations.resolve_cross_language(Graph(nodes, g.edges.withColumn("relation", F.lit("subprocess"))), ("python",), ())
+    return done.edges.select("ord", "target", "relation")
 
 
 def _missing_repos(g: Graph) -> DataFrame:
@@ -124,13 +127,19 @@ _QGRAMS = "q as (select unnest(['released', 'license', 'tion', 'license', 'relea
 _BM25 = _INDEX + f", {_QGRAMS}, dl as (select id, count(*) as dl from idx group by id), corpus as (select count(*) as n, avg(dl) as avgdl from dl), df as (select ngram, count(*) as df from idx group by ngram), b as (select idx.id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * weight * 2.5 / (weight + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score, string_agg(q.ngram, ',' order by place) as matched from idx join q on idx.ngram = q.ngram join df on df.ngram = idx.ngram join dl on dl.id = idx.id, corpus group by idx.id)"
 _add("ngram_index", "corpus", lambda g: search.ngram_index(g).groupBy("id").agg(F.count(F.lit(1)).alias("n_ngrams"), F.round(F.sum("weight"), 3).alias("weight")), f"{_INDEX} select id, count(*) as n_ngrams, round(sum(weight), 3) as weight from idx group by id")
 _add("bm25_corpus_stats", "corpus", lambda g: _corpus_stats(g), f"{_INDEX}, dl as (select id, count(*) as n from idx group by id) select count(*) as n_docs, round(avg(n), 6) as avg_len, (select count(distinct ngram) from idx) as n_ngrams from dl")
-_add("search_bm25", "corpus", lambda g: search.search(g, _ASKED, 20).select("id", F.round("score", 6).alias("score"), _joined("matched", False).alias("matched")), f"{_BM25} select b.id, round(score, 6) as score, matched from b join nodes on b.id = nodes.id where score > 0 order by b.score desc, nodes.ord limit 20")
+_add("search_bm25", "corpus", lambda g: search.search(g, _ASKED, 20).select("id", F.round("score", 6).alias("score"), _joined("matched", False).alias("matched")), f"{_BM25} select b.id, round(score, 6) as score, matched from b join nodes on b.id = nodes.id where score > 0 order by round(b.score, 9) desc, nodes.ord limit 20")
+_add("search_stored_index", "corpus", lambda g: _stored_search(g), f"{_BM25} select b.id, round(score, 6) as score, matched from b join nodes on b.id = nodes.id where score > 0 order by round(b.score, 9) desc, nodes.ord limit 20")
 _add("search_bm25_all", "corpus", lambda g: search.bm25(g, _ASKED).select("id", F.round("score", 6).alias("score")), f"{_BM25} select id, round(score, 6) as score from b where score > 0")
 _SNIP_DOC = "string_split(regexp_replace(docstring, '^\\s+|\\s+$', '', 'g'), chr(10))[1]"
 _add("snippets", "corpus", lambda g: g.nodes.select("id", text.snippet().alias("snippet")), f"select id, signature || ' | ' || case when length({_SNIP_DOC}) > 150 then substring({_SNIP_DOC}, 1, 147) || '...' else {_SNIP_DOC} end as snippet from nodes")
 _add("parent_dirs", "web", lambda g: g.nodes.select("id", paths.parent_dir(F.regexp_replace("filepath", "^https?:/", "")).alias("dir"), paths.file_stem(F.regexp_replace("filepath", "[?#].*$", "")).alias("stem")), "p as (select id, regexp_replace(regexp_replace(filepath, '^https?:/', ''), '(.)/$', '\\1') as p, regexp_replace(regexp_replace(filepath, '[?#].*$', ''), '/+$', '') as f from nodes) select id, regexp_extract(p, '^(.*)/[^/]*$', 1) as dir, regexp_replace(regexp_extract(f, '([^/]*)$', 1), '^(.+)\\.[^.]+$', '\\1') as stem from p")
 
 
+def _stored_search(g: Graph) -> DataFrame:
+    index = search.write_index(g, f"{shared_dir(g.nodes.sparkSession)}/index-{uuid.uuid4().hex}")
+    return search.search(g, _ASKED, 20, index).select("id", F.round("score", 6).alias("score"), _joined("matched", False).alias("matched"))
+
+
 def _corpus_stats(g: Graph) -> DataFrame:
     index = search.ngram_index(g)
     lengths = index.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("avg_len"))
@@ -152,11 +161,11 @@ for _m, _s in (("jaccard", _JAC), ("cosine", f"({_C1} + {_C2}) / 2"), ("ast", _A
     _add(f"similar_{_m}", "corpus", lambda g, m=_m: _similar_all(g, m), f"{_FEATURES}, t as (select * from f where id = 'D:10') select f.id, round({_s}, 6) as score {_PAIR} and {_s} > 0")
 _add("features", "corpus", lambda g: similarity.features(g).select("id", _joined("calls").alias("calls"), F.array_join("control_flow", ",").alias("control_flow"), F.array_join("types", ",").alias("types")), f"{_FEATURES} select id, array_to_string(list_sort(calls), ',') as calls, array_to_string(cf, ',') as control_flow, array_to_string(ty, ',') as types from f")
 _add("min_max", "trade", lambda g: stats.min_max(ranking.degrees(g), "in_degree", "scaled").select("id", F.round("scaled", 6).alias("scaled")), f"{_DEGREE} select id, round((in_degree - min(in_degree) over ()) / (max(in_degree) over () - min(in_degree) over ()), 6) as scaled from d")
-_add("hybrid_half", "corpus", lambda g: search.hybrid_search(g, _ASKED, 10).select("id", F.round("score", 5).alias("score"), F.round("ngram_score", 5).alias("ngram_score"), F.round("sim_score", 5).alias("sim_score")), f"{_BM25}, {_FEATURES}, top as (select b.id, b.score, nodes.ord from b join nodes on nodes.id = b.id order by score desc, ord limit 20), t as (select f.* from f join top on f.id = top.id order by top.score desc, top.ord limit 1), sim as (select f.id, {_AST} as score, f.ord {_PAIR} order by 2 desc, 3 limit 20), a as (select id, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as s from top), z as (select id, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as s from sim), both as (select coalesce(a.id, z.id) as id, coalesce(a.s, 0) as ngram_score, coalesce(z.s, 0) as sim_score from a full join z on a.id = z.id) select id, round(0.5 * ngram_score + 0.5 * sim_score, 5) as score, round(ngram_score, 5) as ngram_score, round(sim_score, 5) as sim_score from (select both.*, ord from both join nodes using (id) order by 0.5 * ngram_score + 0.5 * sim_score desc, ord limit 10) where 0.5 * ngram_score + 0.5 * sim_score > 0")
+_add("hybrid_half", "corpus", lambda g: search.hybrid_search(g, _ASKED, 10).select("id", F.round("score", 5).alias("score"), F.round("ngram_score", 5).alias("ngram_score"), F.round("sim_score", 5).alias("sim_score")), f"{_BM25}, {_FEATURES}, top as (select b.id, b.score, nodes.ord from b join nodes on nodes.id = b.id order by round(score, 9) desc, ord limit 20), t as (select f.* from f join top on f.id = top.id order by round(top.score, 9) desc, top.ord limit 1), sim as (select f.id, {_AST} as score, f.ord {_PAIR} order by round({_AST}, 9) desc, 3 limit 20), a as (select id, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as s from top), z as (select id, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as s from sim), mixed as (select coalesce(a.id, z.id) as id, coalesce(a.s, 0) as ngram_score, coalesce(z.s, 0) as sim_score from a full join z on a.id = z.id) select id, round(0.5 * ngram_score + 0.5 * sim_score, 5) as score, round(ngram_score, 5) as ngram_score, round(sim_score, 5) as sim_score from (select mixed.*, ord from mixed join nodes using (id) order by round(0.5 * ngram_score + 0.5 * sim_score, 9) desc, ord limit 10) where 0.5 * ngram_score + 0.5 * sim_score > 0")
 
 
 def _similar_all(g: Graph, method: str) -> DataFrame:
-    return similarity.find_similar(g, "D:10", 1 << 30, method).select("id", F.round("score", 6).alias("score"))
+    return similarity.find_similar(g, "D:10", None, method).select("id", F.round("score", 6).alias("score"))
 
 
 # Iterative algorithms
@@ -174,10 +183,16 @@ def _pagerank_sql(rounds: int) -> str:
 
 _add("pagerank_20", "trade", lambda g: iterative.pagerank(g, fixed=_ROUNDS).select("id", F.round("score", 9).alias("score")), f"{_pagerank_sql(_ROUNDS)} select id, round(s, 9) as score from r{_ROUNDS}")
 _add("pagerank_cyclic", "events", lambda g: iterative.pagerank(g, fixed=_ROUNDS).select("id", F.round("score", 9).alias("score")), f"{_pagerank_sql(_ROUNDS)} select id, round(s, 9) as score from r{_ROUNDS}")
-_add("hotpaths_pagerank", "corpus", lambda g: ranking.hot_paths(g, 20, "pagerank").select("id", "rank", F.round("score", 9).alias("score")))
-_add("betweenness", "corpus", lambda g: iterative.betweenness(g).select("id", F.round("score", 9).alias("score")))
-_add("hotpaths_betweenness", "events", lambda g: ranking.hot_paths(g, 5, "betweenness").select("id", "rank", F.round("score", 9).alias("score")))
-_add("repo_cycles", "nations", lambda g: records.repo_cycles(g).select(_joined("cycle", False).alias("cycle")), f"{_CROSS}, p as (select distinct source_repo as s, target_repo as t from x), w as (select [s, t] as path from p where s < t union all select list_append(w.path, p.t) from w join p on p.s = w.path[-1] where len(w.path) <= 8 and p.t > w.path[1] and not list_contains(w.path, p.t)) select array_to_string(list_append(path, path[1]), ',') as cycle from w join p on p.s = path[-1] and p.t = path[1] where len(path) <= 8", True)
+_MOST_ROUNDS = 80
+_CHANGES = " union all ".join(f"select {i} as i, sum(abs(a.s - b.s)) as change from r{i} a join r{i - 1} b using (id)" for i in range(1, _MOST_ROUNDS + 1))
+_RANKS = " union all ".join(f"select {i} as i, id, s from r{i}" for i in range(1, _MOST_ROUNDS + 1))
+# The rounds that power iteration needs: the first whose change is below n * 1e-6.
+_add("hotpaths_pagerank", "corpus", lambda g: ranking.hot_paths(g, 20, "pagerank").select("id", "rank", F.round("score", 9).alias("score")), f"{_pagerank_sql(_MOST_ROUNDS)}, last as (select min(i) as i from ({_CHANGES}), k where change < n * 1e-6), ranks as (select id, s, ord from ({_RANKS}) join last using (i) join nodes using (id)) select id, rank, round(s, 9) as score from (select *, row_number() over (order by round(s, 12) desc, ord) as rank from ranks) where rank <= 20")
+# All simple paths, of which the shortest between two nodes count.
+_BETWEEN = "l as (select distinct source, target from edges where source in (select id from nodes) and target in (select id from nodes) and source <> target), w as (select source as s, target as v, [source, target] as path from l union all select w.s, l.target, list_append(w.path, l.target) from w join l on l.source = w.v where not list_contains(w.path, l.target)), m as (select s, v, min(len(path)) as d from w group by all), sp as (select w.* from w join m on w.s = m.s and w.v = m.v and len(path) = d), c as (select s, v, count(*) as n from sp group by all), b as (select id, sum(share) as share from (select unnest(path[2:-2]) as id, 1.0::double / n as share from sp join c using (s, v)) group by id), k as (select count(*) as n from nodes), bt as (select nodes.id, ord, coalesce(share, 0) / ((n - 1) * (n - 2)) as score from nodes left join b using (id), k)"
+_add("betweenness", "corpus", lambda g: iterative.betweenness(g).select("id", F.round("score", 9).alias("score")), f"{_BETWEEN} select id, round(score, 9) as score from bt", True)
+_add("hotpaths_betweenness", "events", lambda g: ranking.hot_paths(g, 5, "betweenness").select("id", "rank", F.round("score", 9).alias("score")), f"{_BETWEEN} select id, row_number() over (order by round(score, 12) desc, ord) as rank, round(score, 9) as score from bt order by 2 limit 5", True)
+_add("repo_cycles", "nations", lambda g: records.repo_cycles(g).select(_joined("cycle", False).alias("cycle")), f"{_CROSS}, p as (select distinct source_repo as s, target_repo as t from x), w as (select [s, t] as path from p where s < t union all select list_append(w.path, p.t) from w join p on p.s = w.path[-1] where p.t > w.path[1] and not list_contains(w.path, p.t)) select array_to_string(list_append(path, path[1]), ',') as cycle from w join p on p.s = path[-1] and p.t = path[1]", True)
 
 # Communities
 _MERGE = "k as (select distinct {by} regexp_extract(filepath, '^(.*)/[^/]*$', 1) as dir from nodes), m as (select distinct {iby} regexp_extract(e.source, '^(.*)/[^/]*$', 1) as dir, e.target from edges e {join} where e.relation = 'imports'), p as (select distinct {aby} a.dir as d1, b.dir as d2 from m a join m b on a.target = b.target {on} join k ka on ka.dir = a.dir {ka} join k kb on kb.dir = b.dir {kb}), r as (select {kby} dir, dir as root from k union select {pby} r.dir, p.d2 from r join p on p.d1 = r.root {rp}), lab as (select {by} dir, min(root) as community from r group by {by} dir)"
@@ -187,15 +202,25 @@ _NAMED = "n as (select nodes.*, community from nodes join lab on lab.dir = regex
 _DESCRIBED = "select {sel} count(*) as size, case when count(distinct n.language) > 1 then 'mixed' else min(n.language) end as dominant_language, round(coalesce((select count(*) from edges e join n a on e.source = a.id join n b on e.target = b.id where a.community = n.community and b.community = n.community {same}), 0) / case when count(*) > 1 then count(*) * (count(*) - 1) else 1 end, 6) as density, arg_min(name, ord) as top_node from n group by {grp} n.community"
 _add("communities_labels", "folders", communities.labels, f"{_PLAIN}, {_NAMED.format(l='')} select id, community from n", True)
 _add("communities_mixed", "folders", lambda g: communities.communities(g, mixed=True).select("community", "size", "dominant_language", F.round("density", 6).alias("density"), "top_node"), f"{_PLAIN}, {_NAMED.format(l='')} {_DESCRIBED.format(sel='n.community,', same='', grp='')}", True)
+_add("communities_polyglot", "shelves", lambda g: communities.communities(g, mixed=True).select("community", "size", "dominant_language", F.round("density", 6).alias("density"), "top_node"), f"{_PLAIN}, {_NAMED.format(l='')} {_DESCRIBED.format(sel='n.community,', same='', grp='')}", True)
 _add("communities_language_labels", "folders", communities.language_labels, f"{_LANG}, {_NAMED.format(l='and lab.language = nodes.language')} select language, id, community from n", True)
 _add("communities_language", "folders", lambda g: communities.communities(g).select("language", "community", "size", "dominant_language", F.round("density", 6).alias("density"), "top_node"), f"{_LANG}, {_NAMED.format(l='and lab.language = nodes.language')} {_DESCRIBED.format(sel='n.language, n.community,', same='and a.language = n.language and b.language = n.language', grp='n.language,')}", True)
 _add("communities_numbered", "folders", lambda g: communities.communities(g, mixed=True).select("number", "community", F.array_join("top_ids", ",").alias("top_ids")), f"{_PLAIN}, {_NAMED.format(l='')} select row_number() over (order by min(ord)) as number, community, array_to_string(list(id order by ord)[1:5], ',') as top_ids from n group by community", True)
 
 # Mutation and records
 _add("remove_files", "corpus", lambda g: _removed(g), "gone as (select id from nodes where filepath like '/src1/%') select (select count(*) from nodes where id not in (from gone)) as n_nodes, count(*) as n_edges from edges where source not in (from gone) and target not in (from gone)")
-_add("upsert_files", "corpus", lambda g: _upserted(g), "old as (select id from nodes where filepath = '/src1/en/doc') select id, case when id in (from old) then 'new' else 'old' end as state from nodes")
+_OLD = "old as (select id from nodes where filepath = '/src1/en/doc')"
+_add("upsert_files", "corpus", lambda g: _upserted(g).nodes.select("id", F.when(F.col("docstring") == "new", "new").otherwise("old").alias("state")), f"{_OLD} select id, case when id in (from old) then 'new' else 'old' end as state from nodes")
+_add("upsert_edges", "corpus", lambda g: _upserted(g).edges.select("source", "target", "relation"), f"{_OLD} select source, target, relation from edges where source not in (from old) and target not in (from old) union all select id, 'D:0', 'calls' from old")
 _add("duplicate_ids", "corpus", lambda g: Graph.of(g.nodes.unionByName(g.nodes.where("language = 'en'").withColumn("ord", F.col("ord") + 1000000000).withColumn("docstring", F.lit("again"))), g.edges).nodes.select("id", "ord", F.md5(F.col("docstring").cast("binary")).alias("doc")), "select id, ord, md5(case when language = 'en' then 'again' else docstring end) as doc from nodes")
-_add("decision_records", "nations", lambda g: records.decision_records(g, F.lit("2024-01-01"), 3).where("rule = 1").select("id", "title", "status", "date", "decision", "context"), f"{_CROSS}, r as (select source_repo as r, count(*) as n, list_sort(list(distinct target_repo)) as t, min(ord) as first from x group by 1) select printf('ADR-%03d', row_number() over (order by first)) as id, 'Calls from ' || r || ' into other repositories' as title, 'proposed' as status, '2024-01-01' as date, r || ' depends at run time on ' || len(t) || ' repositories: ' || array_to_string(t, ', ') as decision, n || ' edges lead from ' || r || ' to other repositories, which couples them.' as context from r")
+_ONE = "one as (select 1 as rule, printf('%020d', first) as place, 'Calls from ' || r || ' into other repositories' as title, r || ' depends at run time on ' || len(t) || ' repositories: ' || array_to_string(t, ', ') as decision, n || ' edges lead from ' || r || ' to other repositories, which couples them.' as context from (select source_repo as r, count(*) as n, list_sort(list(distinct target_repo)) as t, min(ord) as first from x group by 1))"
+_TWO = "loc as (select *, regexp_extract(filepath, '^(.*)/[^/]*$', 1) as dir from nodes), cl as (select dir, language, count(*) as n, min(ord) as f from loc group by all), cd as (select dir, sum(n) as size, min(f) as f, count(*) as k, string_agg(language || '=' || n, ', ' order by f) as langs from cl group by dir), cn as (select *, row_number() over (order by f) as number from cd), within as (select a.dir, count(*) as m from edges e join loc a on e.source = a.id join loc b on e.target = b.id where a.dir = b.dir group by a.dir), two as (select 2, printf('%020d', number), 'Community of several languages: ' || langs, 'Community ' || number || ' has ' || cast(size as bigint) || ' nodes in several languages: ' || langs, 'It spans ' || k || ' languages with density ' || printf('%.2f', coalesce(m, 0) / case when size > 1 then size * (size - 1) else 1 end) || '.' from cn left join within using (dir) where k > 1)"
+_THREE = "hot as (select id, repo from d order by in_degree desc, ord limit 20), three as (select 3, '', 'Hot paths that other repositories depend on', n || ' of the hottest nodes are called from other repositories', 'They have the most incoming edges of the whole graph, some of them from elsewhere.' from (select count(distinct hot.id) as n from hot join edges e on e.target = hot.id join nodes s on e.source = s.id where s.repo <> '' and s.repo <> hot.repo) where n > 0)"
+_FOUR = "four as (select 4, '', 'Unused symbols in public places', n || ' unused symbols lie where a public interface would', 'Nothing calls them, and they have no parent, or lie in a package file, or are named as exports.' from (select count(*) as n from c where status = 'dead' and (coalesce(parent, '') = '' or contains(filepath, '__init__') or starts_with(name, 'export_'))) where n > 0)"
+_FIVE = "p as (select distinct source_repo as s, target_repo as t from x), w as (select [s, t] as path from p where s < t union all select list_append(w.path, p.t) from w join p on p.s = w.path[-1] where p.t > w.path[1] and not list_contains(w.path, p.t)), rings as (select array_to_string(list_append(path, path[1]), ' -> ') as ring from w join p on p.s = path[-1] and p.t = path[1]), five as (select 5, ring, 'Repositories in a circle: ' || ring, 'These repositories depend on one another in a circle: ' || ring, 'The edges between repositories close a cycle.' from rings)"
+_RECORDS = f"{_CROSS}, {_IN}, {_DEGREE}, {_ONE}, {_TWO}, {_THREE}, {_FOUR}, {_FIVE} select printf('ADR-%03d', row_number() over (order by rule, place)) as id, rule, title, 'proposed' as status, '2024-01-01' as date, decision, context from (from one union all from two union all from three union all from four union all from five)"
+for _g in ("nations", "shelves"):
+    _add("decision_records" if _g == "nations" else "decision_records_all_rules", _g, lambda g: records.decision_records(g, F.lit("2024-01-01")).select("id", "rule", "title", "status", "date", "decision", "context"), _RECORDS, True)
 
 
 def _removed(g: Graph) -> DataFrame:
@@ -203,10 +228,51 @@ def _removed(g: Graph) -> DataFrame:
     return left.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(left.edges.agg(F.count(F.lit(1)).alias("n_edges")))
 
 
-def _upserted(g: Graph) -> DataFrame:
-    files = g.nodes.where("filepath = '/src1/en/doc'")
-    new = mutation.upsert_files(g, files.select("filepath"), files.withColumn("docstring", F.lit("new")), g.edges.limit(0))
-    return new.nodes.select("id", F.when(F.col("docstring") == "new", "new").otherwise("old").alias("state"))
+def _upserted(g: Graph) -> Graph:
+    """The documents of one file come again with another text and a call of their own."""
+    old = g.nodes.where("filepath = '/src1/en/doc'")
+    calls = old.select("ord", F.col("id").alias("source"), F.lit("D:0").alias("target"), F.lit("calls").alias("relation"), F.lit(0).alias("line"), "repo")
+    return mutation.upsert_files(g, old.select("filepath"), old.withColumn("docstring", F.lit("new")), calls)
+
+
+# Sources
+def _json(g: Graph, document: bool) -> Graph:
+    spark = g.nodes.sparkSession
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    (sinks.write_json_document if document else sinks.write_json)(g, path)
+    return files.read_json(spark, path)
+
+
+_ALL = "ord, id, name, kind, filepath, line, docstring, signature, parent, language, repo"
+_add("json_nodes", "trade", lambda g: _json(g, False).nodes, f"select {_ALL} from nodes")
+_add("json_edges", "custom", lambda g: _json(g, False).edges, "select ord, source, target, relation, line, repo from edges")
+_add("json_document_nodes", "nations", lambda g: _json(Graph(g.nodes, g.edges.limit(0)), True).nodes, "select row_number() over (order by ord) - 1 as ord, id, name, kind, filepath, line, docstring, signature, parent, language, repo from nodes")
+_add("parquet_edges", "nations", lambda g: _parquet(g).edges, "select ord, source, target, relation, line, repo from edges")
+
+
+def _parquet(g: Graph) -> Graph:
+    spark = g.nodes.sparkSession
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    sinks.write_parquet(g, path)
+    return files.read_parquet(spark, path)
+
+
+#: A script for every part, in SQL that Spark and DuckDB both read.
+_SCRIPT = "select concat('/p', cast(p_partkey as varchar(20)), '.ts') as filepath, concat('import x from \"', p_brand, '\"', chr(10), 'export const p', cast(p_partkey as varchar(20)), ' = (a) => f', cast(p_size as varchar(20)), '(a)', chr(10), 'export default class C', cast(p_size as varchar(20)), ' extends D', chr(10), 'if (x) return <Part', cast(p_size as varchar(20)), ' /> || g(<B>)', chr(10), 'function g', cast(p_partkey as varchar(20)), '() 0', chr(10), 'export interface I', cast(p_size as varchar(20)), ' extends J', chr(10), 'export * from \"m\"') as text from {part}"
+_queries["regex_extractor"] = lambda spark, sf_dir: script_source.by_line(spark.sql(_SCRIPT, part=spark.read.parquet(f"{sf_dir}/part.parquet")))
+
+
+def _by_line_sql() -> str:
+    found = []
+    for place, (what, pattern) in enumerate(script_source.PATTERNS):
+        name = "case when name = '' then '*' else name end" if what == "exports" else "name"
+        keep = " where name not in ('if', 'while', 'for', 'switch', 'catch', 'return')" if place == 6 else ""
+        quoted = pattern.replace("'", "''")
+        found.append(f"select filepath, line, {place} as place, '{what}' as what, {name} as name from (select filepath, line, unnest(regexp_extract_all(t, '{quoted}', 1)) as name from l){keep}")
+    return f"with f as ({_SCRIPT.replace('{part}', 'part')}), a as (select filepath, string_split(text, chr(10)) as a from f), l as (select filepath, unnest(range(len(a))) + 1 as line, unnest(a) as t from a) " + " union all ".join(found)
+
+
+_oracles["regex_extractor"] = _by_line_sql()
 
 
 def queries() -> dict[str, Query]:

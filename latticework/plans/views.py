@@ -52,6 +52,13 @@ VIEWS: dict[str, tuple[str, str]] = {
         """select doc_id * 10 + k as ord, concat('D:', cast(doc_id as varchar(20))) as source, case when k = 1 then concat('D:', cast(floor(doc_id / 2) as bigint)) else concat('D:', cast(floor(doc_id / 3) as bigint)) end as target, 'calls' as relation, 0 as line, source as repo
           from {documents} cross join (select 1 as k union all select 2 as k) t""",
     ),
+    # Documents in directories by source, in repos by language; document d calls d / 2.
+    "shelves": (
+        f"""select {_NODE} from (
+          select doc_id as ord, concat('/', source, '/', cast(doc_id as varchar(20))) as id, concat('d', cast(doc_id as varchar(20))) as name, 'function' as kind, concat('/', source, '/', cast(doc_id as varchar(20))) as filepath, '' as docstring, '' as signature, lang as language, concat('repo-', lang) as repo from {{documents}}) x""",
+        """select d.doc_id as ord, concat('/', d.source, '/', cast(d.doc_id as varchar(20))) as source, concat('/', b.source, '/', cast(b.doc_id as varchar(20))) as target, 'calls' as relation, 0 as line, '' as repo
+          from {documents} d join {documents} b on b.doc_id = cast(floor(d.doc_id / 2) as bigint) where d.doc_id > 0""",
+    ),
     # Event types; an edge from each event of a user to that user's next.
     "events": (
         f"""select {_NODE} from (

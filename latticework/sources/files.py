@@ -81,7 +81,13 @@ def graph_of(rows: DataFrame, repo: str | None = None) -> Graph:
 
 
 def read_json(spark: SparkSession, path: str) -> Graph:
-    """Graph of a JSON file {nodes, edges}; absent keys take defaults, a repeated id its last value, stored communities are ignored."""
+    """Graph of a JSON file {nodes, edges}, or of a folder of JSON lines nodes and edges as `write_json` makes it.
+
+    Absent keys take defaults, a repeated id its last value, stored communities are ignored.
+    """
+    parts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes")
+    if parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(parts):
+        return Graph.of(spark.read.schema(NODE_SCHEMA).json(f"{path}/nodes"), spark.read.schema(EDGE_SCHEMA).json(f"{path}/edges"))
     node = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in NODE_SCHEMA if f.name != "ord")
     edge = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in EDGE_SCHEMA if f.name != "ord")
     whole = spark.read.schema(f"nodes array<struct<{node}>>, edges array<struct<{edge}>>").json(path, multiLine=True)

@@ -1,11 +1,14 @@
 """Symbols and edges of TypeScript and JavaScript files.
 
-`extract` scans tokens of the top level; `by_line` matches each line by itself,
-as Column expressions, for files that the scan can't make sense of.
+`extract` scans tokens of the top level, and matches line by line what the scan
+can't make sense of; `by_line` does the latter for whole tables, as Column
+expressions.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,11 +205,8 @@ class _Scan:
         return self.out.rows
 
 
-def extract(filepath: str, text: str) -> list[dict]:
-    return _Scan(filepath, text).run()
-
-
-_LINE = (
+#: What a line can hold: kind and pattern of its name.
+PATTERNS = (
     ("function", r"function\s+(\w+)"),
     ("function", r"(?:var|let|const)\s+(\w+)\s*=[^=]*=>"),
     ("class", r"class\s+(\w+)"),
@@ -214,8 +214,33 @@ _LINE = (
     ("imports", r"""import\s+(?:(?:\w+|[{][^}]+[}])\s+from\s+)?["']([^"']+)["']"""),
     ("exports", r"export\s+(?:default\s+)?(?:const|let|var|interface|class|function)?\s*(\w+)?"),
     ("calls", r"(\w+)\s*[(]"),
-    ("calls", r"<([A-Z]\w*)(?=\s|/?>)"),
+    ("calls", r"<([A-Z]\w*)(?:\s|/?>)"),
 )
+_NO_CALLS = ("if", "while", "for", "switch", "catch", "return")
+_ENDS = r"\r\n|\n|\r"
+
+
+def scan_lines(filepath: str, text: str) -> list[dict]:
+    """Rows of one file as `by_line` finds them, for a file whose tokens can't be scanned."""
+    out = Collector(filepath, "typescript")
+    for line, content in enumerate(re.split(_ENDS, text), 1):
+        for place, (what, pattern) in enumerate(PATTERNS):
+            for name in re.findall(pattern, content, re.ASCII):
+                if what in ("function", "class", "interface"):
+                    out.symbol(name, what, line, signature="()")
+                elif what != "calls" or place != 6 or name not in _NO_CALLS:
+                    out.edge(filepath, name or "*", what, line)
+    return out.rows
+
+
+def extract(filepath: str, text: str) -> list[dict]:
+    """Rows of one file by its tokens; line by line if brackets or nesting defeat that."""
+    try:
+        return _Scan(filepath, text).run()
+    except (IndexError, RecursionError):
+        return scan_lines(filepath, text)
+
+
 
 
 def _labelled(place: int, what: str):
@@ -228,13 +253,13 @@ def by_line(files: DataFrame) -> DataFrame:
     Each line is matched by itself on the JVM; symbols have no parent, every
     edge starts at the file.
     """
-    lines = files.select("filepath", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("n", "line"))
+    lines = files.select("filepath", F.posexplode(F.split("text", _ENDS)).alias("n", "line"))
     found = []
-    for place, (what, pattern) in enumerate(_LINE):
+    for place, (what, pattern) in enumerate(PATTERNS):
         names = F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
         if what == "exports":
             names = F.transform(names, lambda x: F.when(F.coalesce(x, F.lit("")) == "", "*").otherwise(x))
         if what == "calls" and place == 6:
-            names = F.filter(names, lambda x: ~x.isin("if", "while", "for", "switch", "catch", "return"))
+            names = F.filter(names, lambda x: ~x.isin(*_NO_CALLS))
         found.append(F.transform(names, _labelled(place, what)))
     return lines.select("filepath", (F.col("n") + 1).alias("line"), F.explode(F.concat(*found)).alias("f")).select("filepath", "line", "f.place", "f.what", "f.name")

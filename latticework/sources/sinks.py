@@ -30,11 +30,17 @@ def json_document(g: Graph) -> DataFrame:
     return whole.select(F.to_json(F.struct("nodes", "edges", F.col("c").alias("communities")), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
 
 
-def write_json(g: Graph, path: str) -> None:
-    """A folder with one text file that `read_json` reads."""
+def write_json_document(g: Graph, path: str) -> None:
+    """A folder with one text file that holds `json_document`."""
     json_document(g).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_json(g: Graph, path: str) -> None:
+    """A folder of JSON lines in parts, nodes, edges and communities (id, community), that `read_json` reads; of any size."""
+    for name, table in (("nodes", g.nodes), ("edges", g.edges), ("communities", communities.labels(g))):
+        table.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+
+
 def usage_report(g: Graph, path: str, entry_points: tuple[str, ...] = (), include_suspicious: bool = False) -> None:
     """JSON lines of the classified nodes that the report shows."""
     shown = ["dead", "entry", *(["suspicious"] if include_suspicious else [])]

@@ -1,14 +1,17 @@
 """Incremental graphs: changes of source files as a stream, and a feed of what they changed.
 
 The graph lies in versions under one folder; a batch of changes writes the next
-version and then the pointer to it, so readers see either all of a batch or
-nothing, and a batch that is run again after a failure does no harm.
+version, its messages, and then the mark that makes the version count, so
+readers see either all of a batch or nothing.  A batch that is run again writes
+the same version and messages if the mark was missing, and nothing if it wasn't.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..model import Graph
@@ -16,6 +19,10 @@ from ..operators import mutation, ranking
 from ..sources.files import extract, graph_of
 
 CHANGE = "filepath string, event string, seen timestamp, text string"
+#: What a file that isn't quiet yet waits with.
+_WAITING = "event string, seen timestamp, text string"
+#: Whole versions that stay, for readers that began before the last.
+KEPT = 3
 FEED = "batch long, topic string, repo string, id string, change string"
 
 
@@ -25,6 +32,28 @@ def debounced(changes: DataFrame) -> DataFrame:
     return changes.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def quiet_changes(changes: DataFrame, quiet_ms: int = 500) -> DataFrame:
+    """The last change of each file of a streaming DataFrame, once nothing more has come for `quiet_ms` milliseconds.
+
+    A file's latest change is state; each further one puts the timer back.
+    """
+
+    def settle(key, batches, state):
+        if state.hasTimedOut:
+            event, seen, text = state.get
+            state.remove()
+            yield pd.DataFrame({"filepath": [key[0]], "event": [event], "seen": [seen], "text": [text]})
+            return
+        rows = [tuple(r) for b in batches for r in b[["event", "seen", "text"]].itertuples(index=False)]
+        if state.exists:
+            rows.append(state.get)
+        event, seen, text = max(rows, key=lambda r: (pd.Timestamp(r[1]), r[0] == "deleted"))
+        state.update((event, pd.Timestamp(seen).to_pydatetime(), text))
+        state.setTimeoutDuration(quiet_ms)
+
+    return changes.groupBy("filepath").applyInPandasWithState(settle, CHANGE, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 class LiveGraph:
     """A graph that changes in batches, and the feed of its changes."""
 
@@ -32,38 +61,45 @@ class LiveGraph:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or self.folder)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[int]:
+        """Whole versions, and what cut-off batches left."""
+        p, fs = self._fs(self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[1:]) for n in names if n.startswith("v"))
+
     @property
     def version(self) -> int:
         """Number of the last whole version, -1 before the first."""
-        p, fs = self._fs(self.folder)
-        if not fs.exists(p):
-            return -1
-        done = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(n[1:]) for n in done if n.startswith("v") and fs.exists(self._fs(f"{self.folder}/{n}/edges/_SUCCESS")[0])), default=-1)
+        whole = (v for v in self._versions()[::-1] if self._fs("")[1].exists(self._fs(f"{self.folder}/v{v}/mark/_SUCCESS")[0]))
+        return next(whole, -1)
 
-    def read(self) -> Graph:
-        v = self.version
+    def read(self, version: int | None = None) -> Graph:
+        v = self.version if version is None else version
         if v < 0:
             return Graph.empty(self.spark)
         return Graph(self.spark.read.parquet(f"{self.folder}/v{v}/nodes"), self.spark.read.parquet(f"{self.folder}/v{v}/edges"))
 
-    def write(self, g: Graph, version: int) -> None:
-        g.nodes.write.mode("overwrite").parquet(f"{self.folder}/v{version}/nodes")
-        g.edges.write.mode("overwrite").parquet(f"{self.folder}/v{version}/edges")
+    def batch_of(self, version: int) -> int:
+        """The batch that wrote a version, -1 before the first."""
+        return self.spark.read.parquet(f"{self.folder}/v{version}/mark").first()["batch"] if version >= 0 else -1
 
     def apply(self, changes: DataFrame, batch: int, on_update=None, hot_weight: str | None = None) -> None:
         """Take in a batch of changes (filepath, event, seen, text): re-read files, or drop those with event `deleted`."""
+        before = self.version
+        if batch <= self.batch_of(before):
+            return
         last = debounced(changes).persist()
         try:
-            old = self.read()
+            old = self.read(before)
             there = last.where("event <> 'deleted'").select("filepath", "text")
             fresh = graph_of(extract(there))
             new = mutation.upsert_files(old, last, fresh.nodes, fresh.edges)
-            version = self.version + 1
-            self.write(new, version)
+            at = f"{self.folder}/v{before + 1}"
+            new.nodes.write.mode("overwrite").parquet(f"{at}/nodes")
+            new.edges.write.mode("overwrite").parquet(f"{at}/edges")
             # One feed that everybody reads from where they are; nobody takes a message away from another.
             added = fresh.nodes.select(F.lit(batch).cast("long").alias("batch"), F.lit("node_changed").alias("topic"), "repo", "id", F.lit("updated").alias("change"))
             removed = old.nodes.join(last.select("filepath"), "filepath", "left_semi").join(fresh.nodes.select("id"), "id", "left_anti")
@@ -71,12 +107,17 @@ class LiveGraph:
             files = last.select(F.lit(batch).cast("long").alias("batch"), F.lit("graph_updated").alias("topic"), F.lit("").alias("repo"), F.col("filepath").alias("id"), F.col("event").alias("change"))
             feed = added.unionByName(removed).unionByName(files)
             if hot_weight:
-                hot = ranking.hot_paths(self.read(), 20, hot_weight)
+                hot = ranking.hot_paths(self.read(before + 1), 20, hot_weight)
                 feed = feed.unionByName(hot.select(F.lit(batch).cast("long").alias("batch"), F.lit(f"hot_paths_changed:{hot_weight}").alias("topic"), "repo", "id", F.col("rank").cast("string").alias("change")))
             feed.write.mode("overwrite").parquet(f"{self.folder}/feed/batch={batch}")
+            self.spark.createDataFrame([(batch,)], "batch long").write.mode("overwrite").parquet(f"{at}/mark")
             if on_update:
                 for row in last.select("filepath", "event").toLocalIterator():
                     on_update(row["filepath"], row["event"])
+            for v in self._versions():
+                if v <= before + 1 - KEPT:
+                    p, fs = self._fs(f"{self.folder}/v{v}")
+                    fs.delete(p, True)
         finally:
             last.unpersist()
 
@@ -91,8 +132,9 @@ class LiveGraph:
                 rows = rows.where(F.col(column) == value)
         return rows
 
-    def follow(self, changes: DataFrame, checkpoint: str, interval: str = "500 milliseconds", on_update=None, hot_weight: str | None = None, available_now: bool = False):
-        """Start the stream that applies a streaming DataFrame of changes batch by batch."""
+    def follow(self, changes: DataFrame, checkpoint: str, interval: str = "500 milliseconds", on_update=None, hot_weight: str | None = None, available_now: bool = False, quiet_ms: int | None = None):
+        """Start the stream that applies a streaming DataFrame of changes batch by batch; with `quiet_ms`, files wait until they are quiet."""
+        changes = quiet_changes(changes, quiet_ms) if quiet_ms else changes
         writer = changes.writeStream.foreachBatch(lambda df, batch: self.apply(df, batch, on_update, hot_weight)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
