@@ -1,24 +1,27 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of every path is addressed by the SHA-256 of its content.  The
-ledger says which (blob, rule version) pairs were scanned; a scan takes only
-the pairs that it lacks, records them and their findings, and joins all
-findings of the current rules back to every path that ever held the blob.
-
-One pass over the texts computes addresses and, for each rule, whether the
-rule's literal anchor occurs.  A pair without its anchor is settled by that;
-only blobs with one travel on, so the shuffle carries addresses and few texts.
+Every version of every path is addressed by the SHA-256 of its content, and the
+ledger keeps the text of every blob, so that history can be scanned again.  It
+says which (blob, rule version) pairs were scanned; a scan takes only the pairs
+that it lacks, of the versions that come in and of all that came before,
+records them and their findings, and joins all findings of the given rules back
+to every path that ever held the blob.
+
+Texts are looked at for pairs that are open alone.  Whether a rule's literal
+anchor occurs settles most of them; only blobs with an anchor travel on, so the
+shuffle carries addresses and few texts.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import maybe_broadcast, shared_dir
 
 
 @dataclass(frozen=True)
@@ -63,72 +66,91 @@ MASK = "[SECRET]"
 
 
 class Ledger:
-    """Three Parquet tables under one folder that all executors share: versions, scanned pairs, findings."""
+    """Three Parquet tables under one folder that all executors share: versions, scanned pairs, findings.
+
+    Every scan writes folders of its own, so scans may run side by side.  One
+    that is cut off leaves pairs open, which the next scan takes; what it had
+    found already is then found again, and counts once.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def read(self, table: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+            found = self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
+        return found.drop("run")
+
+    def _append(self, df: DataFrame, table: str) -> None:
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{table}/run={uuid.uuid4().hex}")
+
+    @property
+    def stored(self) -> DataFrame:
+        """(path, blob, text): text where a blob was new; equal texts that came together are each kept."""
+        return self.read("versions", "path string, blob binary, text string")
 
     @property
     def versions(self) -> DataFrame:
-        return self.read("versions", "path string, blob binary")
+        return self.stored.select("path", "blob")
 
     @property
     def scanned(self) -> DataFrame:
-        return self.read("scanned", "blob binary, rule string")
+        """(blob, rules): the rule versions under which a blob was scanned; a blob has a row for each scan."""
+        return self.read("scanned", "blob binary, rules array<string>")
 
     @property
     def findings(self) -> DataFrame:
-        return self.read("findings", "blob binary, rule string, secret string, n_hits long")
+        return self.read("findings", "blob binary, rule string, secret string, n_hits long").dropDuplicates(["blob", "rule", "secret"])
 
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> int:
-        """Take in versions (path string, text string); the number of pairs that had to be scanned.
+        """Take in versions (path string, text string) and scan every open pair of the ledger; the number of pairs that were.
 
         Versions with a null text are left out; an empty text is a blob like
         any other.  Null paths and repeated versions are recorded as they come,
-        a blob is scanned once however often it occurs.
+        a pair is scanned once however often the blob occurs.
         """
-        text, low = F.col("text"), F.col("__low")
-        held = F.array_compact(F.array(*[F.when(_any(low, r.anchors), F.lit(r.key)) for r in rules]))
+        text = F.col("text")
         addressed = versions.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).where("text is not null")
-        addressed = addressed.withColumn("__low", F.lower(text)).select("path", F.unhex(F.sha2(text, 256)).alias("blob"), held.alias("held"), "text")
-        # Repeats of a row's text with an anchor are the exception; without one the text stays behind.
-        addressed = addressed.select("path", "blob", F.when(F.size("held") > 0, F.col("text")).alias("text"), "held")
-        new = f"{self.path}/versions"
-        addressed.select("path", "blob", "held", "text").write.mode("overwrite").parquet(f"{self.path}/incoming")
-        incoming = self.spark.read.schema("path string, blob binary, held array<string>, text string").parquet(f"{self.path}/incoming")
-        blobs = incoming.select("blob").distinct()
-        asked = blobs.crossJoin(F.broadcast(self.spark.createDataFrame([(r.key,) for r in rules], "rule string")))
-        unseen = asked.join(self.scanned, ["blob", "rule"], "left_anti")
+        addressed = addressed.select("path", F.unhex(F.sha2(text, 256)).alias("blob"), "text")
+        known = self.versions.select("blob").distinct()
+        n = known.count()
+        if n:
+            old = maybe_broadcast(known.withColumn("old", F.lit(True)), n, 64)
+            addressed = addressed.join(old, "blob", "left").select("path", "blob", F.when(F.col("old").isNull(), text).alias("text"))
+        self._append(addressed, "versions")
+        if not rules:
+            return 0
+        keys = F.array(*[F.lit(r.key) for r in rules])
+        blobs = self.versions.select("blob").distinct()
+        if self.scanned.isEmpty():
+            open_, work = blobs.withColumn("open", keys), self.stored.where("text is not null").withColumn("open", keys)
+        else:
+            done = self.scanned.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
+            left = F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>")))
+            open_ = blobs.join(done, "blob", "left").select("blob", left.alias("open")).where(F.size("open") > 0)
+            work = self.stored.where("text is not null").join(maybe_broadcast(open_, open_.count(), 256), "blob")
+        low = F.lower(text)
+        held = F.transform(F.array(low), lambda t: F.array_compact(F.array(*[F.when(F.array_contains("open", r.key) & _any(t, r.anchors), F.lit(r.key)) for r in rules])))
         # One text per blob, of those that hold an anchor.
-        texts = incoming.where("text is not null").groupBy("blob").agg(F.first("text").alias("text"), F.first("held").alias("held"))
-        work = texts.select("blob", "text", F.explode("held").alias("rule")).join(self.scanned, ["blob", "rule"], "left_anti")
+        work = work.select("blob", "text", F.get(held, F.lit(0)).alias("held")).where(F.size("held") > 0)
+        work = work.groupBy("blob").agg(F.first("text").alias("text"), F.first("held").alias("held")).select("blob", "text", F.explode("held").alias("rule"))
         matches = F.coalesce(*[F.when(F.col("rule") == r.key, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))) for r in rules])
         hits = work.select("blob", "rule", F.explode(matches).alias("secret")).groupBy("blob", "rule", "secret").agg(F.count(F.lit(1)).alias("n_hits"))
         # Findings first: a pair counts as scanned only once its findings are stored.
-        hits.write.mode("append").parquet(f"{self.path}/findings")
-        unseen.write.mode("append").parquet(f"{self.path}/scanned-new")
-        pairs = self.spark.read.schema("blob binary, rule string").parquet(f"{self.path}/scanned-new")
-        n = pairs.count()
-        pairs.write.mode("append").parquet(f"{self.path}/scanned")
-        incoming.select("path", "blob").write.mode("append").parquet(new)
-        jvm = self.spark.sparkContext._jvm
-        for done in ("incoming", "scanned-new"):
-            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{done}")
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        return n
+        self._append(hits, "findings")
+        folder = f"scanned/run={uuid.uuid4().hex}"
+        open_.select("blob", F.col("open").alias("rules")).write.parquet(f"{self.path}/{folder}")
+        return self.read(folder, "blob binary, rules array<string>").agg(F.coalesce(F.sum(F.size("rules")), F.lit(0))).first()[0]
 
     def by_path(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """(path, blob, rule, secret, n_hits) of the given rule versions, for every path and version that the ledger knows."""
         found = self.findings.where(F.col("rule").isin([r.key for r in rules]))
-        return self.versions.distinct().join(found, "blob").select("path", "blob", "rule", "secret", "n_hits")
+        n = found.count()
+        return self.versions.join(maybe_broadcast(found, n, 512), "blob").select("path", "blob", "rule", "secret", "n_hits").distinct()
 
 
 def _any(low, anchors):
@@ -138,18 +160,29 @@ def _any(low, anchors):
     return held
 
 
-def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
+def _ledger(docs: DataFrame, path: str | None) -> tuple[Ledger, DataFrame]:
+    """The ledger at `path`, or a new one in the shared folder, and the documents as versions whose path is their id."""
+    spark = docs.sparkSession
+    versions = docs.select(docs["doc_id"].cast("string").alias("path"), docs["text"])
+    return Ledger(spark, path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"), versions
+
+
+def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str | None = None, increments: tuple[tuple[Rule, ...], ...] = ()) -> DataFrame:
     """Findings in every document: (doc_id, rule, secret_sha256, n_hits, blob).
 
     Documents are versions whose path is their id; `path` is the ledger's
     folder (by default a new one in the shared folder).  The secret itself
     isn't given, only its SHA-256.  Rows equal in id and text count once.
-    Findings of rows with a null id are given with a null doc_id.
+    Findings of rows with a null id are given with a null doc_id.  Documents of
+    which nothing was found have no row; null texts are left out.
+    `increments` are sets of rules under which parts of the documents, dealt by
+    content, are scanned before all of them are: as if the table had grown and
+    the rules with it.  The result is the same.
     """
-    import uuid
-
-    ledger = Ledger(docs.sparkSession, path or f"{shared_dir(docs.sparkSession)}/ledger-{uuid.uuid4().hex}")
-    ledger.scan(docs.select(docs["doc_id"].cast("string").alias("path"), docs["text"]), rules)
+    ledger, versions = _ledger(docs, path)
+    for k, then in enumerate(increments):
+        ledger.scan(versions.where(F.pmod(F.xxhash64("text"), F.lit(len(increments) + 1)) <= k), then)
+    ledger.scan(versions, rules)
     found = ledger.by_path(rules)
     return found.select(F.col("path").cast("long").alias("doc_id"), "rule", F.sha2("secret", 256).alias("secret_sha256"), "n_hits", F.lower(F.hex("blob")).alias("blob"))
 
@@ -159,16 +192,10 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str
 
     No row is dropped; null texts are unchanged.
     """
-    import uuid
-
-    spark = docs.sparkSession
-    ledger = Ledger(spark, path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
-    ledger.scan(docs.select(docs["doc_id"].cast("string").alias("path"), docs["text"]), rules)
-    bad = ledger.findings.select("blob").distinct()
-    n = bad.count()
-    from .common import maybe_broadcast
-
-    bad = maybe_broadcast(bad.select(F.col("blob").alias("__blob"), F.lit(True).alias("__bad")), n, 64)
+    ledger, versions = _ledger(docs, path)
+    ledger.scan(versions, rules)
+    bad = ledger.findings.where(F.col("rule").isin([r.key for r in rules])).select("blob").distinct()
+    bad = maybe_broadcast(bad.select(F.col("blob").alias("__blob"), F.lit(True).alias("__bad")), bad.count(), 64)
     text = docs["text"]
     joined = docs.join(bad, F.unhex(F.sha2(text.cast("string"), 256)) == F.col("__blob"), "left")
     clean = text

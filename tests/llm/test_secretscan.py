@@ -18,7 +18,8 @@ def brute(rows):
     return out
 
 
-def test_documents_and_hard_rows(spark, sf_dir):
+def test_documents_and_hard_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     hard = [(1, f"key {KEY} and {KEY}"), (1, f"key {KEY} and {KEY}"), (None, f"x {TOKEN}"), (2, None), (3, ""), (4, "y" * 300_000 + " password=abcdefgh1 "), (5, "https://u:secret@host/x"), (6, "-----BEGIN RSA PRIVATE KEY-----"), (7, "token: short")]
@@ -41,11 +42,42 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert ledger.scan(versions(("a", f"v2 {TOKEN}"))) == n
     found = {(r["path"], r["rule"], r["secret"]) for r in ledger.by_path().collect()}
     assert found == {(p, "aws_access_key@1", KEY) for p in "abd"} | {("a", "github_token@1", TOKEN)}
-    # A new version of a rule is scanned over every blob that comes again; the old one's findings stay apart.
+    # A new version of a rule is scanned over all of history, whatever comes in; the old one's findings stay apart.
     newer = (ss.Rule("aws_access_key", 2, r"\bAKIA[0-9A-Z]{16}\b", ("akia",)),)
-    assert ledger.scan(versions(("a", f"v1 {KEY}"), ("c", "clean")), newer) == 2
-    assert {r["rule"] for r in ledger.by_path(newer).collect()} == {"aws_access_key@2"}
-    assert ledger.scanned.count() == 3 * n + 2
+    assert ledger.scan(versions(("e", "clean too")), newer) == 4
+    assert {(r["path"], r["rule"]) for r in ledger.by_path(newer).collect()} == {(p, "aws_access_key@2") for p in "abd"}
+    assert ledger.scan(versions(), newer) == 0
+    assert {r["rule"] for r in ledger.by_path().collect()} == {"aws_access_key@1", "github_token@1"}
+    # The rules that the last version hasn't been scanned under are still open.
+    assert ledger.scan(versions()) == n
+    # A text is kept where its blob was new.
+    assert ledger.stored.where("text is not null").select("blob").distinct().count() == 4
+
+
+def test_a_scan_that_was_cut_off(spark, tmp_path):
+    """Between any two of a scan's writes: the next scan takes what is open, findings count once."""
+    import shutil
+
+    rows = spark.createDataFrame([("a", f"x {KEY} {KEY}"), ("b", "clean"), ("c", f"y {TOKEN}")], "path string, text string")
+    want = {("a", "aws_access_key@1", KEY, 2), ("c", "github_token@1", TOKEN, 1)}
+    for lost in (("scanned",), ("scanned", "findings")):
+        where = tmp_path / f"ledger{len(lost)}"
+        ledger = ss.Ledger(spark, str(where))
+        ledger.scan(rows)
+        for table in lost:
+            shutil.rmtree(where / table)
+        assert ledger.scan(rows) == 3 * len(ss.RULES)
+        got = [(r["path"], r["rule"], r["secret"], r["n_hits"]) for r in ledger.by_path().collect()]
+        assert sorted(got) == sorted(want)
+        assert ledger.scan(rows) == 0
+
+
+def test_increments_give_the_same(spark):
+    rows = [(i, f"n{i} {KEY if i % 3 == 0 else ''} DB_PASSWORD={'abcd1234' if i % 4 == 0 else ''}") for i in range(40)] + [(7, None), (None, f"z {KEY}"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    earlier = tuple(r for r in ss.RULES if r.version == 1)
+    got = {tuple(r) for r in ss.scan_documents(df, increments=(earlier, ())).select("doc_id", "rule", "secret_sha256", "n_hits", "blob").collect()}
+    assert got == brute(rows) and len(got) > 20
 
 
 def test_redaction(spark):
