@@ -1,4 +1,7 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from latticework.llm import ann
 
@@ -75,6 +78,43 @@ def test_many_dimensions_and_small_tables(spark):
     assert recalls(spark, rng.standard_normal((300, 16))).mean() >= 0.94
 
 
+def clusters(n, dim, size, noise, seed):
+    """Rows around n / size centres."""
+    rng = np.random.default_rng(seed)
+    return (rng.standard_normal((n // size, dim))[rng.integers(0, n // size, n)] + noise * rng.standard_normal((n, dim))).astype(np.float32)
+
+
+def test_recall_and_pruning_on_a_large_table(spark, tmp_path):
+    """50,000 clustered vectors: a tenth of the table or less is reranked, with recall 0.9 or more."""
+    x = clusters(50_000, 64, 25, 0.35, 7)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.reshape(-1), 64).cast(pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "x.parquet", row_group_size=5000)
+    df = spark.read.parquet(str(tmp_path / "x.parquet"))
+    asked = F.col("id") % 250 == 0
+    got = result(ann.nearest(df, queries=asked))
+    assert sorted(got) == list(range(0, 50_000, 250)) and all(len(v) == 10 for v in got.values())
+    hits = []
+    for i, v in got.items():
+        d = np.sqrt(((x - x[i]).astype(np.float64) ** 2).sum(1))
+        d[i] = np.inf
+        kth = np.partition(d, 9)[9]
+        hits.append(sum(e <= kth + 1e-6 for _, e in v) / 10)
+        assert all(abs(d[n] - e) < 1e-6 for n, e in v)
+    share = np.mean([r["n_candidates"] / r["n_rows"] for r in ann.candidates(df, queries=asked).collect()])
+    assert np.mean(hits) >= 0.9 and share <= 0.1, (np.mean(hits), share)
+
+
+def test_some_queries_against_all_rows(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    every, some = result(ann.nearest(vectors)), result(ann.nearest(vectors, queries=F.col("id") % 20 == 0))
+    table = vectors.toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(np.float64)
+    want = exact(ids, x, 10)
+    assert set(some) == {i for i in ids.tolist() if i % 20 == 0} and set(every) == set(ids.tolist())
+    for got in (every, some):
+        assert np.mean([len({n for n, _ in got[i]} & {n for n, _ in want[i]}) / 10 for i in got]) >= 0.9
+
+
 def test_queries_beyond_the_share_meet_all_rows(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((200, 8)).astype(np.float32)
