@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, bpe, classifier, fertility, linededup, packing, secretscan, simhash, simple8b, urlfilter
 from .common import documents
@@ -27,11 +28,14 @@ def op4_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.scan_documents(documents(spark, sf_dir))
+    """In two increments: half of the documents under the rules that haven't changed since, then all under all rules."""
+    earlier = tuple(r for r in secretscan.RULES if r.version == 1)
+    return secretscan.scan_documents(documents(spark, sf_dir), increments=(earlier,))
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(documents(spark, sf_dir, "embeddings"))
+    """Queries are the rows whose id is divisible by 20, held against all rows."""
+    return ann.nearest(documents(spark, sf_dir, "embeddings"), queries=F.col("id") % 20 == 0)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
