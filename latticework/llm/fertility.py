@@ -9,6 +9,7 @@ distribution, in bits, as a share of what its token count allows (at most
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +21,7 @@ from . import bpe
 from . import textvec as tv
 from .common import mapped
 
-VOCABULARIES = {"byte_en": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_multi": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
+VOCABULARIES = {"byte_en": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_multi": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", "piece": "/opt/tokenizers/piece_bpe_32k.model"}
 
 
 @dataclass(frozen=True)
@@ -30,16 +31,17 @@ class Band:
     low: float = 1.3
     high: float = 8.0
     fallback: float = 0.35
-    entropy: float = 0.45
+    entropy: float = 0.6
 
 
 @dataclass(frozen=True)
 class Bands:
-    """A band by language, else by script, else `default`; documents of fewer than `least` tokens aren't judged."""
+    """A band by language, else by script, else `default`; `short` for documents of fewer than `least` tokens, whose measures scatter."""
 
     by_lang: dict = field(default_factory=lambda: {"en": Band(1.3, 7.0, 0.10), "de": Band(1.3, 7.0, 0.20), "fr": Band(1.3, 7.0, 0.20), "es": Band(1.3, 7.0, 0.20)})
-    by_script: dict = field(default_factory=lambda: {"Latin": Band(1.3, 7.0, 0.20), "Cyrillic": Band(0.8, 6.0, 0.60), "Greek": Band(0.6, 5.0, 0.80), "Arabic": Band(0.6, 5.0, 0.80), "Han": Band(0.3, 3.0, 0.98), "Kana": Band(0.3, 3.0, 0.98), "Hangul": Band(0.3, 3.0, 0.98), "Devanagari": Band(0.3, 4.0, 0.98)})
-    default: Band = field(default_factory=lambda: Band(0.3, 8.0, 0.98))
+    by_script: dict = field(default_factory=lambda: {"Latin": Band(1.3, 7.0, 0.20), "Cyrillic": Band(0.8, 6.0, 0.60), "Greek": Band(0.6, 5.0, 0.80), "Arabic": Band(0.6, 5.0, 0.80), "Han": Band(0.3, 3.0, 0.98, 0.5), "Kana": Band(0.3, 3.0, 0.98, 0.5), "Hangul": Band(0.3, 3.0, 0.98, 0.5), "Devanagari": Band(0.3, 4.0, 0.98, 0.5)})
+    default: Band = field(default_factory=lambda: Band(0.3, 8.0, 0.98, 0.5))
+    short: Band = field(default_factory=lambda: Band(0.25, 16.0, 0.98, 0.0))
     least: int = 16
 
     def of(self, lang: str | None, script: str) -> Band:
@@ -100,7 +102,7 @@ class _Pieces:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids = self.model.encode(pc.fill_null(texts, "").to_pylist(), num_threads=1)
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return np.array([i for x in ids for i in x], dtype=np.int32), np.concatenate(([0], np.cumsum(sizes)))
+        return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())), np.concatenate(([0], np.cumsum(sizes)))
 
 
 _pieces: dict[str, _Pieces] = {}
@@ -118,12 +120,16 @@ def fertility(docs: DataFrame, vocabularies: dict[str, str] | None = None, bands
     """Measures and verdict for every row of `docs` (doc_id, text, lang).
 
     Columns: doc_id, lang, script, n_chars, then for each vocabulary v
-    v_tokens, v_chars_per_token, v_fallback, v_entropy, and keep, reason.  A
-    document is kept if at least one vocabulary finds it within its band: a
-    vocabulary that was made for other languages doesn't condemn it.  Texts of
-    fewer than `Bands.least` tokens are kept (too short to judge); null and
-    empty texts aren't (reason "empty").  Null ids, unknown languages, repeated
-    rows and other columns have no influence.
+    v_tokens, v_chars_per_token, v_fallback, v_entropy, and keep, reason.  The
+    vocabulary that fits a document best, the one with the fewest tokens (of
+    equal ones the first), judges it: a vocabulary made for other languages
+    doesn't condemn it, nor does one that fits it badly acquit it.  The
+    document is kept if that vocabulary's measures are within its band;
+    `reason` is the first measure that isn't, in the order few characters a
+    token, many, byte fallback, entropy.  Texts of fewer than `Bands.least`
+    tokens have a band of their own; null and empty texts aren't kept (reason
+    "empty").  Null ids, unknown languages, repeated rows and other columns
+    have no influence.
     """
     vocabularies, bands = vocabularies or VOCABULARIES, bands or Bands()
     shared = {name: (path, bpe.vocabulary(docs.sparkSession, path)) for name, path in vocabularies.items()}
@@ -138,10 +144,11 @@ def fertility(docs: DataFrame, vocabularies: dict[str, str] | None = None, bands
                 data, at = tv.buffers(texts)
                 script = scripts(data, at)
                 chars = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
-                kinds, kind = np.unique(np.array([f"{a}\0{b}" for a, b in zip(lang.to_pylist(), script.tolist())], dtype=object).astype(str), return_inverse=True) if len(part) else ([], np.zeros(0, int))
-                chosen = [bands.of(k.split("\0")[0], SCRIPTS[int(k.split("\0")[1])]) for k in kinds]
-                low, high, most, least = (np.array([getattr(b, f) for b in chosen])[kind] for f in ("low", "high", "fallback", "entropy"))
-                columns, passed, short, worst = [], np.zeros(len(part), bool), np.zeros(len(part), bool), np.zeros(len(part), int)
+                kinds: dict[tuple, int] = {}
+                kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(lang.to_pylist(), script.tolist())), dtype=np.int64, count=len(part))
+                chosen = [bands.of(a, SCRIPTS[b]) for a, b in kinds]
+                band = {f: np.array([getattr(b, f) for b in (*chosen, bands.short)]) for f in ("low", "high", "fallback", "entropy")}
+                columns, fewest, wrong = [], np.full(len(part), np.iinfo(np.int64).max), np.zeros(len(part), dtype=np.int64)
                 for encoder in encoders.values():
                     ids, offsets = encoder.encode(texts)
                     n = np.diff(offsets)
@@ -149,14 +156,14 @@ def fertility(docs: DataFrame, vocabularies: dict[str, str] | None = None, bands
                     sums = np.concatenate(([0], np.cumsum(encoder.partial[ids])))
                     fallback = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1)
                     spread = entropy(ids, offsets)
-                    wrong = np.select([per_token < low, per_token > high, fallback > most, spread < least], [1, 2, 3, 4], 0)
-                    passed |= wrong == 0
-                    short |= n < bands.least
-                    worst = np.maximum(worst, wrong)
+                    own = np.where(n < bands.least, len(chosen), kind)
+                    found = np.select([per_token < band["low"][own], per_token > band["high"][own], fallback > band["fallback"][own], spread < band["entropy"][own]], [1, 2, 3, 4], 0)
+                    best = n < fewest
+                    wrong, fewest = np.where(best, found, wrong), np.minimum(fewest, n)
                     columns += [pa.array(n), pa.array(per_token), pa.array(fallback), pa.array(spread)]
-                keep = (passed | short) & (chars > 0)
+                keep = (wrong == 0) & (chars > 0)
                 reasons = pa.array(["few characters a token", "many characters a token", "byte fallback", "entropy", "empty"])
-                reason = pc.if_else(pa.array(keep), None, reasons.take(pa.array(np.where(chars > 0, worst - 1, 4).clip(0))))
+                reason = pc.if_else(pa.array(keep), None, reasons.take(pa.array(np.where(chars > 0, wrong - 1, 4).clip(0))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lang, pa.array(SCRIPTS).take(pa.array(script)), pa.array(chars.astype(np.int64)), *columns, pa.array(keep), reason], names)
 
     source = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["lang"].cast("string"))
