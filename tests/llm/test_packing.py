@@ -106,3 +106,15 @@ def test_documents(spark, sf_dir):
     items = np.array([k % packing.CAPACITY for _, k in n if k % packing.CAPACITY])
     _, _, opened = packing.best_fit_decreasing(items, packing.CAPACITY)
     assert len(bins) == opened + sum(k // packing.CAPACITY for _, k in n)
+
+
+def test_files_and_order_change_nothing(spark, tmp_path):
+    rng = random.Random(4)
+    lengths = [(rng.randrange(300), rng.choice((1, 7, 30, 60, 130, 250))) for _ in range(1500)] + [(None, 40)] * 200 + [(5, 0), (None, None)]
+    df = spark.createDataFrame(lengths, "doc_id long, n_tokens long")
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rng.shuffle(lengths)
+    spark.createDataFrame(lengths, "doc_id long, n_tokens long").repartition(7).write.parquet(str(tmp_path / "seven"))
+    one, seven = (sorted(map(tuple, packing.pack_lengths(spark.read.parquet(str(tmp_path / t)), 100, 200).collect()), key=str) for t in ("one", "seven"))
+    assert one == seven
+    check(packing.pack_lengths(df, 100, 200).collect(), lengths, 100)
