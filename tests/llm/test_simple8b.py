@@ -19,6 +19,42 @@ def test_round_trip(rows, block):
         assert np.array_equal(simple8b.decode(own, np.array([0, len(own)]), (end - start)[k : k + 1]), values[start[k] : end[k]])
 
 
+TABLE = [(0, 240, 0), (2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60)]
+
+
+def scalar(values):
+    """A block's words, one value after another: the selector of the most values that fit, a last word filled up with zeros."""
+    words, at = [], 0
+    while at < len(values):
+        for selector, count, bits in TABLE:
+            own = [v & ((1 << 64) - 1) for v in values[at : at + count]] + [0] * max(0, at + count - len(values))
+            if all(v < 1 << bits for v in own):
+                words.append(selector << 60 | sum(v << (bits * k) for k, v in enumerate(own)))
+                at += count
+                break
+        else:
+            words += [1 << 60, values[at] & ((1 << 64) - 1)]
+            at += 1
+    return words
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60000), st.integers(0, 1 << 61), st.integers(-(1 << 63), (1 << 63) - 1), st.just(0)), max_size=300), max_size=4), st.sampled_from([1, 7, 64, 1024]))
+def test_words_against_a_scalar_coder(rows, block):
+    values = np.array([v for r in rows for v in r], dtype=np.int64)
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+    words, at, _ = simple8b.encode(values, offsets, block)
+    want = [scalar(r[k : k + block]) for r in rows for k in range(0, len(r), block)]
+    assert [words[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_long_text_and_clashing_columns(spark):
+    text = "".join(f"harbour {k} masts; " for k in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").selectExpr("*", "'x' as payload", "1 as n_tokens", "2 as tokens")
+    back = {r["doc_id"]: r["tokens"] for r in simple8b.unpack_documents(simple8b.pack_documents(df)).collect()}
+    assert back == {r["doc_id"]: r["tokens"] for r in bpe.encode_documents(df).collect()} and len(back[1]) > 200_000
+
+
 def test_selectors_pack_densely():
     words, *_ = simple8b.encode(np.zeros(240, dtype=np.int64), np.array([0, 240]))
     assert len(words) == 1
