@@ -1,9 +1,11 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A document's fingerprint is 128 bits over its distinct lower-cased words.  A
-word weighs 1, those of 4 bytes or more 2 and of 7 or more 3, and floor(log2(count))
-besides: short words are common to all documents of a language, and if they
-weighed as much, unrelated documents would have like fingerprints.  It is cut into `segments` segments.  If two
+A document's fingerprint is 128 bits over its distinct lower-cased words; in
+scripts without spaces between words, over every two neighbouring characters.
+A word weighs 1, those of 4 bytes or more 2 and of 7 or more 3, and
+floor(log2(count)) besides: short words are common to all documents of a
+language, and if they weighed as much, unrelated documents would have like
+fingerprints.  A fingerprint is cut into `segments` segments.  If two
 fingerprints differ in at most r = segments * (2 * ball + 1) - 1 bits, they
 differ in at most 2 * ball bits of some segment (pigeonhole), so their Hamming
 balls of radius `ball` in that segment meet.  Every fingerprint is entered in
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import components, mapped, maybe_broadcast, row_key, stored
+from .common import components, drop_stored, mapped, maybe_broadcast, row_key, stored
 
 SEGMENTS = 6
 RADIUS = 17
@@ -40,7 +42,7 @@ _U = np.uint64
 def hash_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(high 64 bits, low 64 bits, number of distinct words) of each text."""
     data, offsets = tv.buffers(pc.utf8_lower(texts))
-    starts, ends, first = tv.words(data, offsets)
+    starts, ends, first = tv.tokens(data, offsets)
     hashes = tv.span_hash(tv.prefix(data), starts, ends)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     # The two lowest bits of the 40 that `distinct` keeps say how long the word is.
@@ -126,19 +128,24 @@ def linked(prints: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) ->
     edges = stored(led.where((F.col("a") != F.col("b")) & (distance("a", "b") <= radius)).select(_node("a.").alias("a"), _node("b.").alias("b")).distinct(), "first-links")
     found = stored(components(edges).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("component"))), "first-groups")
     known = prints.withColumn("node", _node()).join(maybe_broadcast(found, found.count(), 48), "node", "left")
-    known = stored(known.select("hi", "lo", F.coalesce("component", "node").alias("label"), (F.coalesce("size", F.lit(1)) > LARGE).alias("large")), "labelled")
+    # A fingerprint without a group is its own label, which need not travel.  Each row is entered many times: as many tasks do that as read it.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = stored(known.select("hi", "lo", F.col("component").alias("label"), (F.coalesce("size", F.lit(1)) > LARGE).alias("large")).repartition(tasks), "labelled")
     few, many = (_entries(known.where(c), segments, ball, "label") for c in ("not large", "large"))
-    differ = F.col("a.label") < F.col("b.label")
+    label = lambda t: F.coalesce(f"{t}.label", _node(f"{t}."))
+    differ = label("a") < label("b")
     # The labels of both sides always differ here; naming them lets this join read the shuffle of the one before.
-    apart = F.col("a.label") != F.col("b.label")
+    apart = label("a") != label("b")
     met = _met(few, few, ["key"], differ, radius).unionByName(_met(many, few, ["key"], apart, radius))
     if not known.where("large").isEmpty():
         labels = many.select("key", "label").distinct()
-        both = labels.alias("a").join(labels.alias("b"), (F.col("a.key") == F.col("b.key")) & differ).select("a.key", "a.label", F.col("b.label").alias("other"))
+        both = labels.alias("a").join(labels.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))).select("a.key", "a.label", F.col("b.label").alias("other"))
         left = many.join(both, ["key", "label"]).select("key", "other", "hi", "lo")
         met = met.unionByName(_met(left, many.withColumnRenamed("label", "other"), ["key", "other"], F.lit(True), radius))
     more = stored(met.distinct(), "further-links")
-    return stored(components(edges.unionByName(more)) if not more.isEmpty() else found.drop("size"), "groups")
+    out = found.drop("size") if more.isEmpty() else stored(components(edges.unionByName(more)), "groups")
+    drop_stored(known, edges, more)
+    return out
 
 
 def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
@@ -149,6 +156,7 @@ def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> D
     rows = stored(fingerprints(docs).groupBy("k_doc", "k_text", "hi", "lo").agg(F.count(F.lit(1)).alias("n_rows")), "fingerprints")
     prints = stored(rows.select("hi", "lo").distinct(), "distinct-fingerprints")
     near = linked(prints, segments, radius)
+    drop_stored(prints)
     rows = rows.withColumn("node", _node())
     rows = rows.join(maybe_broadcast(near, near.count(), 40), "node", "left").withColumn("group", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("k_doc").isNull().alias("none"), "k_doc", "k_text"))

@@ -8,6 +8,8 @@ by the larger of the slice size and the longest single text.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,19 +77,86 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         start = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each row and the end): maximal runs within a row of bytes for which `member` holds."""
-    inside = member[data]
+#: Scripts that put no spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_SPACELESS = ((0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x323AF))
+_code_classes: np.ndarray | None = None
+
+
+def _class_table() -> np.ndarray:
+    """Of each code point: 1 for letters, marks and numbers, 2 for those of scripts without spaces, 0 for all else."""
+    global _code_classes
+    if _code_classes is None:
+        table = np.zeros(0x110000, dtype=np.uint8)
+        # No letters beyond these but for the variation selectors, which are marks.
+        table[:0x33480] = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x33480)), dtype=np.uint8, count=0x33480)
+        table[0xE0100:0xE01F0] = 1
+        for low, high in _SPACELESS:
+            table[low : high + 1] *= 2
+        _code_classes = table
+    return _code_classes
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    """Class of each byte's character: 0 no part of a word, 1 part of one, 2 part of one in a script without spaces."""
+    kind = IS_WORD[data].astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        last = len(data) - 1
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        tail = [data[np.minimum(lead + k, last)].astype(np.int32) & 63 for k in (1, 2, 3)]
+        head = data[lead].astype(np.int32)
+        code = np.where(size == 2, (head & 31) << 6 | tail[0], np.where(size == 3, (head & 15) << 12 | tail[0] << 6 | tail[1], (head & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+        found = _class_table()[np.minimum(code, 0x10FFFF)]
+        odd = found != 1
+        lead, size, found = lead[odd], size[odd], found[odd]
+        for k in range(4):
+            long = size > k
+            kind[np.minimum(lead[long] + k, last)] = found[long]
+    return kind
+
+
+def _runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
+    edges = offsets[:-1][offsets[:-1] < len(inside)]
     begin[edges] = inside[edges]
     finish = inside.copy()
     finish[:-1] &= ~inside[1:]
     last = offsets[1:][offsets[1:] > 0] - 1
     finish[last] = inside[last]
-    starts = np.flatnonzero(begin)
-    return starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, offsets)
+    return np.flatnonzero(begin), np.flatnonzero(finish) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each row and the end): maximal runs within a row of bytes for which `member` holds."""
+    starts, ends = _runs(member[data], offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like `words`, cut at punctuation of every script; where a script has no spaces, a token is two neighbouring characters, or a lone one.
+
+    `kind` are the bytes' `classes`, if they are known.
+    """
+    if kind is None:
+        if not len(data) or data.max() < 0xC0:
+            return words(data, offsets)
+        kind = classes(data)
+    starts, ends = _runs(kind == 1, offsets)
+    lead = np.flatnonzero((kind == 2) & (data >= 0xC0))
+    if len(lead):
+        end = lead + 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        row = np.searchsorted(offsets, lead, side="right")
+        paired = np.zeros(len(lead), dtype=bool)
+        paired[:-1] = (lead[1:] == end[:-1]) & (row[1:] == row[:-1])
+        alone = ~paired
+        alone[1:] &= ~paired[:-1]
+        second = np.flatnonzero(paired) + 1
+        starts = np.concatenate((starts, lead[paired], lead[alone]))
+        ends = np.concatenate((ends, end[second], end[alone]))
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
@@ -120,27 +189,43 @@ for _j in range(8):
     _SPREAD |= ((np.arange(256, dtype=np.uint64) >> _U(_j)) & _U(1)) << _U(8 * _j)
 
 
+def _pieces(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where runs of up to 255 features start, first run of each row that has features, those rows)."""
+    total = np.diff(firsts)
+    pieces = (total + 254) // 255
+    owner = np.repeat(np.arange(len(total)), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    rows = np.flatnonzero(pieces)
+    return firsts[:-1][owner] + 255 * nth, np.cumsum(pieces)[rows] - pieces[rows], rows
+
+
 def simhash(features: np.ndarray, firsts: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit SimHash of each row; features[firsts[i]:firsts[i+1]] are row i's, repeats count as weight.
 
     Bit counts are kept in eight byte lanes of a 64-bit word, so runs of up to
     255 features are summed without unpacking; rows without features give 0.
     """
-    n, total = len(firsts) - 1, np.diff(firsts)
-    out = np.zeros(n, dtype=np.uint64)
+    return nested_simhash(features, firsts, None, seed)[0]
+
+
+def nested_simhash(features: np.ndarray, firsts: np.ndarray, outer: np.ndarray | None, seed: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+    """(SimHash of each block, SimHash of each row): row i has the blocks outer[i]:outer[i+1], of which none is empty."""
+    out = np.zeros(len(firsts) - 1, dtype=np.uint64)
+    whole = None if outer is None else np.zeros(len(outer) - 1, dtype=np.uint64)
     if not len(features):
-        return out
-    pieces = (total + 254) // 255
-    owner = np.repeat(np.arange(n), pieces)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = firsts[:-1][owner] + 255 * nth
-    rows = np.flatnonzero(pieces)
-    first_piece = np.cumsum(pieces)[rows] - pieces[rows]
-    half = total[rows, None] / 2
-    h = mix(features, seed)
+        return out, whole
+    at, first_piece, rows = _pieces(firsts)
+    half = np.diff(firsts)[rows, None] / 2
+    if outer is not None:
+        some = np.flatnonzero(np.diff(outer))
+        half_whole = np.diff(firsts[outer])[some, None] / 2
+    single = len(at) == len(rows)
+    h = mix(features, seed).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
     for k in range(8):
-        lanes = np.add.reduceat(_SPREAD[((h >> _U(8 * k)) & _U(255)).astype(np.uint8)], at)
-        counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first_piece, axis=0)
-        byte = np.packbits(counts > half, axis=1, bitorder="little")[:, 0]
-        out[rows] |= byte.astype(np.uint64) << _U(8 * k)
-    return out
+        lanes = np.add.reduceat(_SPREAD[h[:, k]], at).view(np.uint8).reshape(-1, 8)
+        counts = lanes if single else np.add.reduceat(lanes.astype(np.int64), first_piece, axis=0)
+        out[rows] |= np.packbits(counts > half, axis=1, bitorder="little")[:, 0].astype(np.uint64) << _U(8 * k)
+        if outer is not None:
+            total = np.add.reduceat(counts.astype(np.int64), outer[some], axis=0)
+            whole[some] |= np.packbits(total > half_whole, axis=1, bitorder="little")[:, 0].astype(np.uint64) << _U(8 * k)
+    return out, whole
