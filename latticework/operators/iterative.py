@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..model import Graph
 from ..storage import drop_stored, fingerprint, shared_dir, stored
@@ -34,6 +33,16 @@ def reachable(g: Graph, start: str) -> DataFrame:
     return g.nodes.join(seen.where(F.col("id") != start), "id", "left_semi").select(g.nodes.columns)
 
 
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) with m, the least v of each u.
+
+    One shuffle, read twice; the pairs of a u stream past its least one, so that
+    a node with a third of all pairs is neither sorted nor held in memory.
+    """
+    dealt = pairs.repartition("u")
+    return dealt.join(dealt.groupBy("u").agg(F.min("v").alias("m")).hint("shuffle_hash"), "u")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given by the first two columns; component is the least node of its own.
 
@@ -42,11 +51,11 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     a, b = pairs.columns[:2]
     state = stored(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "stars")
-    before, by_u = fingerprint(state), Window.partitionBy("u")
+    before = fingerprint(state)
     while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(by_u))
+        both = _with_least(state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large)
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         after = stored(small.select(F.inline(ends)).where("u <> v").distinct(), "stars")
         drop_stored(state)

@@ -43,14 +43,39 @@ def _called(g: Graph, sizes: tuple[int, ...]) -> DataFrame:
     return calls.select(F.col("source").alias("id"), F.explode(text.ngrams(text.split_identifier(F.col("callee")), sizes)).alias("ngram"))
 
 
+def _beside(g: Graph, sizes: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with `calls`, their n-grams from called names and how often each comes; all of these as rows; the ids that have too many of them."""
+    called = stored(_called(g, sizes).groupBy("id", "ngram").agg(F.count(F.lit(1)).alias("n")), "called-ngrams")
+    per = called.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    few = called.join(per.where(F.col("k") <= CALLS), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("ngram", "n")).alias("calls"))
+    nothing = F.array().cast("array<struct<ngram:string,n:long>>")
+    nodes = g.nodes.select("id", "name", "docstring", "signature").join(few, "id", "left").withColumn("calls", F.coalesce("calls", nothing))
+    return nodes, called, per.where(F.col("k") > CALLS).select("id")
+
+
+def _weigh(grams: Column, weight: float) -> Column:
+    # In a function of its own: a second parameter of the lambda would be the place.
+    return F.transform(grams, lambda x: F.struct(x.alias("ngram"), F.lit(weight).alias("w")))
+
+
+def _call_weights(calls: Column) -> Column:
+    return F.transform(calls, lambda c: F.struct(c["ngram"].alias("ngram"), c["n"].cast("double").alias("w")))
+
+
 def ngram_index(g: Graph, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(id, ngram, weight): 3 for each place in the name, 1.5 in the docstring, 1 in the signature, 1 in a called node's name."""
-    # A node's own n-grams are counted within its row; what is shuffled are distinct ones.
-    own = None
-    for _, grams, weight in _parts(sizes):
-        part = g.nodes.select("id", F.explode(grams).alias("ngram"), F.lit(weight).alias("w"))
-        own = part if own is None else own.unionByName(part)
-    return own.unionByName(_called(g, sizes).withColumn("w", F.lit(1.0))).groupBy("id", "ngram").agg(F.sum("w").alias("weight"))
+    """(id, ngram, weight): 3 for each place in the name, 1.5 in the docstring, 1 in the signature, 1 in a called node's name.
+
+    Nodes are dealt by id before their n-grams are made, so that texts are
+    shuffled once and n-grams, many times as large, not at all.
+    """
+    nodes, called, many = _beside(g, sizes)
+    rows = nodes.repartition("id")
+    found = F.concat(*[_weigh(grams, weight) for _, grams, weight in _parts(sizes)], _call_weights(F.col("calls")))
+    index = rows.select("id", F.inline(found)).groupBy("id", "ngram").agg(F.sum("w").alias("weight"))
+    if many.isEmpty():
+        return index
+    more = called.join(many, "id", "left_semi").select("id", "ngram", F.col("n").cast("double").alias("weight"))
+    return index.unionByName(more).groupBy("id", "ngram").agg(F.sum("weight").alias("weight"))
 
 
 @dataclass(frozen=True)
@@ -95,26 +120,19 @@ def query_ngrams(spark, query: str, max_n: int = 3) -> DataFrame:
 def _profiles(g: Graph, asked: list[str], max_n: int) -> DataFrame:
     """(id, dl, hits array<(ngram, weight)>) of every node that has an n-gram: its number of distinct ones, and those that are asked for."""
     sizes = tuple(range(1, max_n + 1))
-    called = stored(_called(g, sizes).groupBy("id", "ngram").agg(F.count(F.lit(1)).alias("n")), "called-ngrams")
-    per = called.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
-    few = called.join(per.where(F.col("k") <= CALLS), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("ngram", "n")).alias("calls"))
-    nothing = F.array().cast("array<struct<ngram:string,n:long>>")
-    nodes = g.nodes.select("id", "name", "docstring", "signature").join(few, "id", "left").withColumn("calls", F.coalesce("calls", nothing))
+    nodes, called, many = _beside(g, sizes)
     parts = _parts(sizes)
 
     def measured(s):
         hit = lambda grams: F.filter(grams, lambda x: x.isin(*asked))
         every = F.array_distinct(F.concat(*[s[name] for name, _, _ in parts], F.transform(s["calls"], lambda c: c["ngram"])))
-        # A lambda's second parameter would be the place.
-        weigh = lambda w: lambda x: F.struct(x.alias("ngram"), F.lit(w).alias("w"))
-        own = [F.transform(hit(s[name]), weigh(w)) for name, _, w in parts]
-        calls = F.transform(F.filter(s["calls"], lambda c: c["ngram"].isin(*asked)), lambda c: F.struct(c["ngram"].alias("ngram"), c["n"].cast("double").alias("w")))
+        own = [_weigh(hit(s[name]), w) for name, _, w in parts]
+        calls = _call_weights(F.filter(s["calls"], lambda c: c["ngram"].isin(*asked)))
         return F.struct(F.size(every).cast("long").alias("dl"), F.concat(*own, calls).alias("hits"))
 
     # Bound by a lambda, the n-grams of a row are made once.
     row = F.struct(*[grams.alias(name) for name, grams, _ in parts], F.col("calls").alias("calls"))
     out = nodes.select("id", F.get(F.transform(F.array(row), measured), F.lit(0)).alias("m")).select("id", "m.dl", "m.hits")
-    many = per.where(F.col("k") > CALLS).select("id")
     if many.isEmpty():
         return out.where("dl > 0")
     # Nodes with more: their n-grams as rows.

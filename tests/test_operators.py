@@ -32,6 +32,21 @@ def test_search(library):
     assert search.search(library, "zebra").count() == 0
 
 
+def test_search_by_rows_index_and_stored_index(library, monkeypatch, tmp_path):
+    """The same scores from rows, from a table of n-grams and from a stored index, also where a node's calls are too many to lie in its row."""
+    want = None
+    for calls in (4096, 1):
+        monkeypatch.setattr(search, "CALLS", calls)
+        stored = search.write_index(library, str(tmp_path / f"index{calls}"))
+        assert stored.buckets == search.BUCKETS
+        for index in (None, search.ngram_index(library), stored, search.read_index(library.nodes.sparkSession, str(tmp_path / f"index{calls}"))):
+            got = {r["id"]: (round(r["score"], 9), r["matched"]) for r in search.bm25(library, "handle parse json handle", index).collect()}
+            want = want or got
+            assert got == want and len(got) >= 3
+    weights = {(r["id"], r["ngram"]): r["weight"] for r in search.ngram_index(library).collect()}
+    assert weights["n1", "parse"] == 3 + 1.5 and weights["n3", "handle"] == 3 + 1.5 and weights["n1", "request"] == 1 and weights["n4", "parse json"] == 1
+
+
 def test_hybrid(library):
     pure = {r["id"]: r for r in search.hybrid_search(library, "parse json", alpha=1.0).collect()}
     assert all(r["score"] == pytest.approx(r["ngram_score"]) for r in pure.values())
