@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fragments repeat within a slice: larger ones than other kernels' pay.
 SLICE_BYTES = 2 << 20
 #: Distinct fragments that a worker remembers between slices.
-MEMORY = 600_000
+MEMORY = 250_000
 
 _codecs: dict[bytes, "Codec"] = {}
 
