@@ -1,3 +1,4 @@
+import random
 import re
 from pathlib import Path
 
@@ -61,6 +62,74 @@ def test_stages(spark, sf_dir):
     assert ran == tokens
 
 
+GOOD = [
+    "the harbour committee met on tuesday evening and discussed several plans for number {k} of the bridges across the river",
+    "sailors of vessel {k} learned to read the weather long before instruments told them about approaching storms from the west",
+    "a gardener who tends orchard {k} prunes the old pear trees in february while the sap is still resting in the roots",
+    "engineers examined turbine {k} after the flood and reported that every bearing had survived without visible damage",
+]
+WORDS = [f"{a}{b}" for a in ("cal", "mor", "ven", "tis", "pel", "dra", "ho", "ru") for b in ("den", "lia", "mark", "ton", "ge", "sting", "wen", "bury")]
+
+
+def good(k):
+    """A document of its own: a sentence, and forty words that no other document has in this order."""
+    rng = random.Random(k)
+    return GOOD[k % 4].format(k=k) + "\n" + " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(40))
+
+
+BAD = "WIN $$$ click {k} now !!! free $$$ click click $$$ buy {k} !!!"
+TOKEN = "ghp_" + "a1B2" * 9
+
+
+def hard_documents(spark):
+    copy = good(3)
+    rows = [(k, good(k) if k % 2 else BAD.format(k=k), "en", "s", 7) for k in range(60)]
+    rows += [(100, None, "en", "s", None), (101, "", None, None, 0), (None, good(200), None, "s", None), (3, copy, "en", "s", 7), (102, copy + " indeed", "en", "s", 1), (103, good(300) + f"\ntoken {TOKEN}", "en", None, 5), (104, "\n".join(good(k) for k in range(1000, 2000)), "en", "s", 1), (105, good(301) + "\n" + good(5).split("\n")[1], "en", "s", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", "1 as k_doc", "'x' as blob", "2 as part", "3 as node", "4 as label", "true as keep", "'y' as open", "5 as __doc")
+
+
+def test_hard_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, near and exact copies, clashing columns: through every stage."""
+    docs = hard_documents(spark)
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(None, 1, 0), (5, None, None), (999, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, folder)
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        out.write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        kept.append(sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=str))
+    ids = lambda rows: sorted((d for d, _ in rows), key=str)
+    odd = list(range(1, 60, 2))
+    assert ids(kept[0]) == sorted([*odd, 3, 102, 103, 104, 105, None], key=str)
+    # The lines of document 3 go from its near copy; of document 5 from the document that repeats its last line.
+    lines = dict(kept[1])
+    assert ids(kept[1]).count(3) == 2 and 102 not in lines and lines[105] == good(301)
+    assert all(lines[k] == good(k) for k in odd) and lines[None] == good(200)
+    # Repeated rows once.
+    assert ids(kept[2]) == sorted([*odd, 103, 104, 105, None], key=str)
+    secrets = dict(kept[3])
+    assert ids(kept[3]) == ids(kept[2]) and secrets[103] == good(300) + "\ntoken [SECRET]" and all(secrets[d] == t for d, t in kept[2] if d != 103)
+    packed = stages["best-fit packing"](spark, now, folder).collect()
+    tokens = {r["doc_id"]: r["n_tokens"] for r in bpe.encode_documents(now).collect()}
+    got = {}
+    for r in packed:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["n_tokens"]
+    assert got == tokens and got[104] > packing.CAPACITY
+
+
+def test_empty_table(spark, tmp_path):
+    folder = str(tmp_path)
+    hard_documents(spark).limit(0).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 
