@@ -1,4 +1,15 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before kept.
+
+All stages but the last return the columns of the documents they are given,
+whatever else these hold; columns with the names of the operators' own do no
+harm.  Nulls in other columns than text have no influence, a null id counts as
+an id.  Null and empty texts are rejected by the first stage; those that come
+to a later stage pass through it unchanged, and are packed as rows without
+tokens.  Texts are read whole, however long.  Rows equal in id and text are one
+document to each stage: they lose the same lines, and one of them stays after
+near-dedup.  Ties go to the lowest id, nulls last.  An empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
@@ -47,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written to the shared folder and read again."""
+    """All stages over `documents`; each result is written to the shared folder and read again.
+
+    Gives a row per piece of a document: (doc_id, chunk, start_token, n_tokens,
+    part, bin, bin_offset, part_bins, part_bound, certified).
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
