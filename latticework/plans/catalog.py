@@ -265,7 +265,7 @@ _queries["regex_extractor"] = lambda spark, sf_dir: script_source.by_line(spark.
 def _by_line_sql() -> str:
     found = []
     for place, (what, pattern) in enumerate(script_source.PATTERNS):
-        name = "case when name = '' then '*' else name end" if what == "exports" else "name"
+        name = "case when coalesce(name, '') = '' then '*' else name end" if what == "exports" else "name"
         keep = " where name not in ('if', 'while', 'for', 'switch', 'catch', 'return')" if place == 6 else ""
         quoted = pattern.replace("'", "''")
         found.append(f"select filepath, line, {place} as place, '{what}' as what, {name} as name from (select filepath, line, unnest(regexp_extract_all(t, '{quoted}', 1)) as name from l){keep}")
