@@ -1,4 +1,9 @@
-"""Edit distances of many pairs of strings at once: Myers' bit-vectors, a numpy step for a character of all pairs together."""
+"""Edit distances of many pairs of strings at once: Myers' bit-vectors, a numpy step for a character of all pairs together.
+
+Only the words of 64 rows that a distance within the bound can pass through are
+worked out; rows above them are taken to grow by one a step, which never makes
+a distance too small, and leaves those within the bound as they are.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,8 @@ _U = np.uint64
 _ONE, _TOP = _U(1), _U(63)
 #: Patterns of more words go one by one, as Python's long integers.
 WIDEST = 8
+#: Pairs are worked out together with those of a like bound.
+BANDS = (24, 48, 1 << 60)
 #: Bytes of a group's table of character masks.
 TABLE = 64 << 20
 
@@ -49,36 +56,63 @@ def _one(pattern: np.ndarray, text: np.ndarray) -> int:
     return score
 
 
-def _group(codes_p: np.ndarray, at_p: np.ndarray, size_p: np.ndarray, codes_t: np.ndarray, at_t: np.ndarray, size_t: np.ndarray, letters: int, words: int) -> np.ndarray:
-    """Distances of pairs whose patterns take up to `words` words; texts in descending order of size."""
-    n = len(size_p)
-    masks = np.zeros((n, letters, words), dtype=np.uint64)
+def _group(codes: np.ndarray, at_p: np.ndarray, size_p: np.ndarray, at_t: np.ndarray, size_t: np.ndarray, allowed: np.ndarray, letters: int, words: int) -> np.ndarray:
+    """Distances of pairs whose patterns take up to `words` words, if they are within `allowed`, else more than that; texts in descending order of size."""
+    n, band = len(size_p), int(allowed.max())
+    masks = np.zeros((words, n * letters), dtype=np.uint64)
     row = np.repeat(np.arange(n), size_p)
-    place = np.arange(int(size_p.sum())) - np.repeat(np.cumsum(size_p) - size_p, size_p)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size_p) - size_p, size_p)
     # Every (pair, letter, word, bit) occurs once, so adding is setting.
-    np.add.at(masks, (row, codes_p[np.repeat(at_p, size_p) + place], place >> 6), _ONE << (place & 63).astype(np.uint64))
+    np.add.at(masks, (place >> 6, row * letters + codes[np.repeat(at_p, size_p) + place]), _ONE << (place & 63).astype(np.uint64))
     plus = np.full((words, n), ~_U(0))
     minus = np.zeros((words, n), dtype=np.uint64)
-    score, last_word, last_bit = size_p.copy(), (size_p - 1) >> 6, ((size_p - 1) & 63).astype(np.uint64)
-    live = n
+    base, out = np.arange(n) * letters, np.zeros(n, dtype=np.int64)
+    last_word, above = (size_p - 1) >> 6, ~_U(0) << ((size_p - 1) & 63).astype(np.uint64) << _ONE
+    # The distance at the lowest row of the lowest word that has been reached.
+    low = min(words - 1, band >> 6)
+    score, live = np.full(n, 64 * (low + 1)), n
     for step in range(int(size_t[0])):
-        live = int(np.searchsorted(-size_t[:live], -step, side="left"))
-        eqs = masks[np.arange(live), codes_t[at_t[:live] + step]]
+        at = base[:live] + codes[at_t[:live] + step]
+        while low < min(words - 1, (step + band) >> 6):
+            low += 1
+            score += 64
         up_in, down_in = np.full(live, _ONE), np.zeros(live, dtype=np.uint64)
-        for w in range(words):
-            eq, p, m = eqs[:, w], plus[w, :live], minus[w, :live]
+        for w in range(max(0, step - band) >> 6, low + 1):
+            eq, p, m = masks[w][at], plus[w, :live], minus[w, :live]
             vertical = eq | m
             eq = eq | down_in
             across = (((eq & p) + p) ^ p) | eq
             up, down = m | ~(across | p), p & across
-            here = last_word[:live] == w
-            bit = last_bit[:live]
-            score[:live] += np.where(here, ((up >> bit) & _ONE).astype(np.int64) - ((down >> bit) & _ONE).astype(np.int64), 0)
             up_out, down_out = up >> _TOP, down >> _TOP
             up, down = up << _ONE | up_in, down << _ONE | down_in
             plus[w, :live], minus[w, :live] = down | ~(vertical | up), up & vertical
             up_in, down_in = up_out, down_out
-    return score
+        score[:live] += up_in.view(np.int64) - down_in.view(np.int64)
+        left = int(np.searchsorted(-size_t[:live], -step - 1, side="left"))
+        if left < live:
+            done = slice(left, live)
+            out[done] = score[done]
+            # Back from the lowest row to the pattern's last.
+            for w in range(low + 1):
+                rest = np.where(last_word[done] == w, above[done], np.where(last_word[done] < w, ~_U(0), _U(0)))
+                out[done] += np.bitwise_count(minus[w, done] & rest).astype(np.int64) - np.bitwise_count(plus[w, done] & rest).astype(np.int64)
+            live = left
+    return out
+
+
+def _letters_differ(codes: np.ndarray, at_p: np.ndarray, size_p: np.ndarray, at_t: np.ndarray, size_t: np.ndarray, letters: int) -> np.ndarray:
+    """A lower bound of each distance: how often letters must be changed for both sides to have the same."""
+    out, most = np.zeros(len(size_p), dtype=np.int64), max(1, (1 << 21) // max(letters, 1))
+    for start in range(0, len(out), most):
+        part = slice(start, start + most)
+        counts = []
+        for at, size in ((at_p[part], size_p[part]), (at_t[part], size_t[part])):
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            counts.append(np.bincount(row * letters + codes[np.repeat(at, size) + place], minlength=len(size) * letters).reshape(-1, letters))
+        apart = counts[0] - counts[1]
+        out[part] = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1))
+    return out
 
 
 def within(left: list[str], right: list[str], allowed: np.ndarray) -> np.ndarray:
@@ -111,16 +145,21 @@ def within(left: list[str], right: list[str], allowed: np.ndarray) -> np.ndarray
     codes = np.concatenate((a, b))
     at_b = at_b + len(a)
     at_p, at_t = np.where(swap, at_b, at_a), np.where(swap, at_a, at_b)
+    some = np.flatnonzero(open_)
+    open_[some] = _letters_differ(codes, at_p[some], small[some], at_t[some], large[some], letters) <= allowed[some]
     words = (small + 63) >> 6
     low = 0
     for width in (1, 2, 4, WIDEST):
-        mine = np.flatnonzero(open_ & (words > low) & (words <= width))
+        narrow = -1
+        for band in BANDS if width > 1 else BANDS[-1:]:
+            mine = np.flatnonzero(open_ & (words > low) & (words <= width) & (allowed > narrow) & (allowed <= band))
+            narrow = band
+            mine = mine[np.argsort(-large[mine], kind="stable")]
+            most = max(1, TABLE // (8 * width * max(letters, 1)))
+            for start in range(0, len(mine), most):
+                k = mine[start : start + most]
+                result[k] = _group(codes, at_p[k], small[k], at_t[k], large[k], allowed[k], letters, width) <= allowed[k]
         low = width
-        mine = mine[np.argsort(-large[mine], kind="stable")]
-        most = max(1, TABLE // (8 * width * max(letters, 1)))
-        for start in range(0, len(mine), most):
-            k = mine[start : start + most]
-            result[k] = _group(codes, at_p[k], small[k], codes, at_t[k], large[k], letters, width) <= allowed[k]
     for k in np.flatnonzero(open_ & (words > WIDEST)).tolist():
         result[k] = _one(codes[at_p[k] : at_p[k] + small[k]], codes[at_t[k] : at_t[k] + large[k]]) <= allowed[k]
     return result

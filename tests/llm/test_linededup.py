@@ -13,7 +13,7 @@ def norm(line):
 
 
 def long_enough(n):
-    return len(n) >= linededup.MIN_CHARS and (n.count(" ") + 1 >= linededup.MIN_WORDS or len(n) >= linededup.LONG)
+    return len(n) >= linededup.MIN_CHARS
 
 
 def similar_pairs(lines):
@@ -68,7 +68,7 @@ def test_recall_against_brute_force(spark, sf_dir):
     seen = {}
     for d, t in texts.items():
         for k, x in enumerate(t.split("\n")):
-            if long_enough(norm(x)):
+            if norm(x):
                 seen.setdefault(norm(x), []).append((d, k))
     assert all(p in held for places in seen.values() if len(places) > 1 for p in places)
     assert all((r["doc_id"], r["line_no"]) == (r["kept_doc_id"], r["kept_line_no"]) for r in rows if r["keep"])
@@ -115,6 +115,74 @@ def test_empty_table_and_long_text(spark):
     assert len(found) == 2
 
 
+def keys_of(lines):
+    data, kind, bounds, _ = linededup.normalised(pa.array(lines))
+    found = linededup.Lines(data, kind, bounds)
+    return linededup.block_keys(*found.of(np.arange(len(lines))))
+
+
+def test_normal_form_and_identity():
+    """Lines, their normal forms and their hashes against a regular expression line by line."""
+    rng = np.random.default_rng(9)
+    signs = ["a", "B", "é", "Ñ", "7", "0", " ", "  ", "\t", ".", "。", "—", "日", "本", "ก", "ไ", "\n", "x", "٣", "\u00a0", "🙂", "e\u0301"]
+    rows = ["".join(rng.choice(signs, int(rng.integers(0, 25)))) for _ in range(400)] + ["", "\n", "\n\n", " ", "one"]
+    data, kind, bounds, first = linededup.normalised(pa.array(rows))
+    got = [data[a : b - 1].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])]
+    want = [[norm(x) for x in r.split("\n")] for r in rows]
+    assert [got[a:b] for a, b in zip(first[:-1], first[1:])] == want
+    found = linededup.Lines(data, kind, bounds)
+    by = {}
+    for line, h1, h2 in zip(got, found.h1.tolist(), found.h2.tolist()):
+        assert by.setdefault(line, (h1, h2)) == (h1, h2)
+    assert len(set(by.values())) == len(by) and found.chars.tolist() == [len(x) for x in got]
+
+
+def share_found(lines, edited):
+    """Share of the pairs that are candidates: an odd key in common, or an even one and fingerprints within the radius."""
+    sig, keys, first = keys_of(lines + edited)
+    n = len(lines)
+    keys = [set(keys[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
+    near = np.bitwise_count(sig[:n] ^ sig[n:]) <= linededup.RADIUS
+    return np.mean([any(k & 1 or near[i] for k in keys[i] & keys[n + i]) for i in range(n)])
+
+
+@pytest.mark.parametrize("typos, least", [(1, 0.97), (2, 0.9)])
+def test_typos_in_short_lines(typos, least):
+    """Random one-character typos in lines of 5 to 10 words."""
+    rng = np.random.default_rng(typos)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = ["".join(rng.choice(letters, int(rng.integers(2, 11)))) for _ in range(3000)]
+    lines, edited = [], []
+    while len(lines) < 2000:
+        a = " ".join(rng.choice(words, int(rng.integers(5, 11))))
+        b = list(a)
+        for _ in range(typos):
+            b[int(rng.choice([k for k, c in enumerate(b) if c != " "]))] = str(rng.choice(letters))
+        if typos <= 0.1 * len(a):
+            lines.append(a)
+            edited.append("".join(b))
+    assert share_found(lines, edited) >= least
+
+
+def test_lines_without_spaces():
+    """A changed word of two characters in Chinese lines of 40 to 80 characters."""
+    rng = np.random.default_rng(5)
+    signs = [chr(c) for c in range(0x4E00, 0x5600)]
+    lines = ["".join(rng.choice(signs, int(rng.integers(40, 80)))) for _ in range(500)]
+    edited = []
+    for a in lines:
+        k = int(rng.integers(0, len(a) - 2))
+        edited.append(a[:k] + "".join(rng.choice(signs, 2)) + a[k + 2 :])
+    assert share_found(lines, edited) >= 0.9
+
+
+def test_chinese_lines_end_to_end(spark):
+    line = "这是一个没有空格的句子它有很多个字符长度所以可以找到相似的行因为只改变了一个词语其余的部分完全相同没有任何差别"
+    other = line.replace("词语", "单词")
+    found = decisions(spark, [(1, line), (2, "前言\n" + other), (3, "完全不同的一行文字讲述港口改造工程的进展情况以及居民们对此提出的各种各样的意见和建议")])
+    assert set(found) == {(1, 0), (2, 1)} and found[2, 1]["kept_doc_id"] == 1
+
+
 @pytest.mark.parametrize("changed", range(1, 4))
 def test_changed_words_share_a_block(changed):
     """Up to three changed words of thirty always leave a block in common."""
@@ -125,7 +193,7 @@ def test_changed_words_share_a_block(changed):
         b = list(a)
         for k in rng.choice(30, changed, replace=False):
             b[k] = str(rng.choice(words))
-        _, keys, first = linededup.block_keys(pa.array([" ".join(a), " ".join(b)]))
+        _, keys, first = keys_of([" ".join(a), " ".join(b)])
         assert set(keys[: first[1]].tolist()) & set(keys[first[1] :].tolist())
 
 
