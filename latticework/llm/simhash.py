@@ -26,7 +26,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textvec as tv
 from .common import components, drop_stored, mapped, maybe_broadcast, row_key, stored
@@ -123,10 +122,14 @@ def linked(prints: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) ->
     ball = 0
     while segments * (2 * ball + 1) - 1 < radius:
         ball += 1
-    same = Window.partitionBy("key").orderBy("hi", "lo")
-    led = _entries(prints, segments, 0).withColumns({"a": F.struct(F.first("hi").over(same).alias("hi"), F.first("lo").over(same).alias("lo")), "b": F.struct("hi", "lo")})
-    edges = stored(led.where((F.col("a") != F.col("b")) & (distance("a", "b") <= radius)).select(_node("a.").alias("a"), _node("b.").alias("b")).distinct(), "first-links")
-    found = stored(components(edges).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("component"))), "first-groups")
+    # One shuffle, read twice; a value's fingerprints stream past the first of them.
+    dealt = _entries(prints, segments, 0).withColumn("node", _node()).repartition("key")
+    ends = dealt.groupBy("key").agg(F.min("node").alias("first"), F.min_by("hi", "node").alias("first_hi"), F.min_by("lo", "node").alias("first_lo"))
+    apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("first_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("first_lo")))
+    led = dealt.join(ends.hint("shuffle_hash"), "key").where((F.col("node") != F.col("first")) & (apart <= radius))
+    edges = stored(led.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "first-links")
+    found = components(edges)
+    found = stored(found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"), "first-groups")
     known = prints.withColumn("node", _node()).join(maybe_broadcast(found, found.count(), 48), "node", "left")
     # A fingerprint without a group is its own label, which need not travel.  Each row is entered many times: as many tasks do that as read it.
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -143,7 +146,7 @@ def linked(prints: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) ->
         left = many.join(both, ["key", "label"]).select("key", "other", "hi", "lo")
         met = met.unionByName(_met(left, many.withColumnRenamed("label", "other"), ["key", "other"], F.lit(True), radius))
     more = stored(met.distinct(), "further-links")
-    out = found.drop("size") if more.isEmpty() else stored(components(edges.unionByName(more)), "groups")
+    out = found.select("node", "component") if more.isEmpty() else stored(components(edges.unionByName(more)), "groups")
     drop_stored(known, edges, more)
     return out
 
