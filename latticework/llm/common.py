@@ -47,8 +47,19 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [doc_id.cast("long").alias("k_doc"), F.xxhash64(text).alias("k_text")]
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """The given names, with underscores before them as long as `df` has a column of that name."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["components", "documents", "drop_stored", "mapped", "maybe_broadcast", "release", "row_key", "shared_dir", "stored"]
+__all__ = ["apart", "components", "documents", "drop_stored", "mapped", "maybe_broadcast", "release", "row_key", "shared_dir", "stored"]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import editdistance
 from . import textvec as tv
-from .common import components, drop_stored, mapped, maybe_broadcast, stored
+from .common import apart, components, drop_stored, mapped, maybe_broadcast, stored
 
 RADIUS = 16
 SIMILARITY = 0.9
@@ -338,13 +338,14 @@ def drop_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     text lose the same lines.
     """
     marked = _removed(docs, radius, similarity, min_chars)
-    gone = stored(marked.where("not is_kept").groupBy(F.col("k_doc").alias("__doc"), F.col("k_text").alias("__text")).agg(F.collect_list("line_no").alias("__gone")), "gone-lines")
-    size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("m")).first()
+    doc, text, lines, cut = apart(docs, "__doc", "__text", "__gone", "__left")
+    gone = stored(marked.where("not is_kept").groupBy(F.col("k_doc").alias(doc), F.col("k_text").alias(text)).agg(F.collect_list("line_no").alias(lines)), "gone-lines")
+    size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(lines)), F.lit(0)).alias("m")).first()
     gone = maybe_broadcast(gone, 1, 64 * size["n"] + 8 * size["m"])
-    joined = docs.join(gone, (F.col("__text") == F.xxhash64(docs["text"])) & F.col("__doc").eqNullSafe(docs["doc_id"].cast("long")), "left")
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    changed = F.col("__gone").isNotNull()
-    joined = joined.withColumn("__left", F.when(changed, left).otherwise(docs["text"]))
-    out = joined.where(~changed | (F.trim(F.regexp_replace("__left", r"\s+", " ")) != ""))
-    columns = [F.col("__left").alias(c) if c == "text" else F.when(changed, F.char_length("__left")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    joined = docs.join(gone, (F.col(text) == F.xxhash64(docs["text"])) & F.col(doc).eqNullSafe(docs["doc_id"].cast("long")), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
+    changed = F.col(lines).isNotNull()
+    joined = joined.withColumn(cut, F.when(changed, left).otherwise(docs["text"]))
+    out = joined.where(~changed | (F.trim(F.regexp_replace(cut, r"\s+", " ")) != ""))
+    columns = [F.col(cut).alias(c) if c == "text" else F.when(changed, F.char_length(cut)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.select(*columns)

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, shared_dir
+from .common import apart, maybe_broadcast, shared_dir
 
 
 @dataclass(frozen=True)
@@ -195,14 +195,15 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str
     ledger, versions = _ledger(docs, path)
     ledger.scan(versions, rules)
     bad = ledger.findings.where(F.col("rule").isin([r.key for r in rules])).select("blob").distinct()
-    bad = maybe_broadcast(bad.select(F.col("blob").alias("__blob"), F.lit(True).alias("__bad")), bad.count(), 64)
+    blob, hit, masked = apart(docs, "__blob", "__bad", "__clean")
+    bad = maybe_broadcast(bad.select(F.col("blob").alias(blob), F.lit(True).alias(hit)), bad.count(), 64)
     text = docs["text"]
-    joined = docs.join(bad, F.unhex(F.sha2(text.cast("string"), 256)) == F.col("__blob"), "left")
+    joined = docs.join(bad, F.unhex(F.sha2(text.cast("string"), 256)) == F.col(blob), "left")
     clean = text
     for r in rules:
         clean = F.regexp_replace(clean, F.lit(r.pattern), F.lit(MASK.replace("$", "\\$")))
-    joined = joined.withColumn("__clean", F.when(F.col("__bad"), clean).otherwise(text))
-    columns = [F.col("__clean").alias(c) if c == "text" else F.when(F.col("__bad"), F.char_length("__clean")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    joined = joined.withColumn(masked, F.when(F.col(hit), clean).otherwise(text))
+    columns = [F.col(masked).alias(c) if c == "text" else F.when(F.col(hit), F.char_length(masked)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return joined.select(*columns)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import components, drop_stored, mapped, maybe_broadcast, row_key, stored
+from .common import apart, components, drop_stored, mapped, maybe_broadcast, row_key, stored
 
 SEGMENTS = 6
 RADIUS = 17
@@ -187,15 +187,16 @@ def drop_near_duplicates(docs: DataFrame, segments: int = SEGMENTS, radius: int
     Rows without words stay (repeated ones too).
     """
     found = stored(groups(docs, segments, radius).groupBy("k_doc", "k_text").agg(F.max("keep").alias("keep"), F.sum("n_rows").alias("n_rows")), "kept")
-    known = found.select(F.col("k_doc").alias("__doc"), F.col("k_text").alias("__text"), "keep", "n_rows")
+    own_doc, own_text = apart(docs, "__doc", "__text")
+    known = found.select(F.col("k_doc").alias(own_doc), F.col("k_text").alias(own_text), "keep", "n_rows")
     doc, text = row_key(docs["doc_id"], docs["text"])
-    same = F.col("__doc").eqNullSafe(doc) & (F.col("__text") == text)
+    same = F.col(own_doc).eqNullSafe(doc) & (F.col(own_text) == text)
     # What occurs once and stays needs no join; only repeats of what stays are shuffled with their texts.
-    apart = known.where("not keep or n_rows > 1").select("__doc", "__text")
-    kept = docs.join(maybe_broadcast(apart, apart.count(), 48), same, "left_anti")
-    repeated = known.where("keep and n_rows > 1").select("__doc", "__text")
+    gone = known.where("not keep or n_rows > 1").select(own_doc, own_text)
+    kept = docs.join(maybe_broadcast(gone, gone.count(), 48), same, "left_anti")
+    repeated = known.where("keep and n_rows > 1").select(own_doc, own_text)
     n = repeated.count()
     if not n:
         return kept
-    once = docs.join(maybe_broadcast(repeated, n, 48), same).dropDuplicates(["__doc", "__text"])
+    once = docs.join(maybe_broadcast(repeated, n, 48), same).dropDuplicates([own_doc, own_text])
     return kept.unionByName(once.select(*[docs[c] for c in docs.columns]))

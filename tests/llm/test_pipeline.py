@@ -62,19 +62,13 @@ def test_stages(spark, sf_dir):
     assert ran == tokens
 
 
-GOOD = [
-    "the harbour committee met on tuesday evening and discussed several plans for number {k} of the bridges across the river",
-    "sailors of vessel {k} learned to read the weather long before instruments told them about approaching storms from the west",
-    "a gardener who tends orchard {k} prunes the old pear trees in february while the sap is still resting in the roots",
-    "engineers examined turbine {k} after the flood and reported that every bearing had survived without visible damage",
-]
 WORDS = [f"{a}{b}" for a in ("cal", "mor", "ven", "tis", "pel", "dra", "ho", "ru") for b in ("den", "lia", "mark", "ton", "ge", "sting", "wen", "bury")]
 
 
 def good(k):
-    """A document of its own: a sentence, and forty words that no other document has in this order."""
+    """Two lines of words that no other document has in this order."""
     rng = random.Random(k)
-    return GOOD[k % 4].format(k=k) + "\n" + " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(40))
+    return "\n".join(" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)) for n in (20, 40))
 
 
 BAD = "WIN $$$ click {k} now !!! free $$$ click click $$$ buy {k} !!!"
@@ -86,7 +80,7 @@ def hard_documents(spark):
     rows = [(k, good(k) if k % 2 else BAD.format(k=k), "en", "s", 7) for k in range(60)]
     rows += [(100, None, "en", "s", None), (101, "", None, None, 0), (None, good(200), None, "s", None), (3, copy, "en", "s", 7), (102, copy + " indeed", "en", "s", 1), (103, good(300) + f"\ntoken {TOKEN}", "en", None, 5), (104, "\n".join(good(k) for k in range(1000, 2000)), "en", "s", 1), (105, good(301) + "\n" + good(5).split("\n")[1], "en", "s", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.selectExpr("*", "1 as k_doc", "'x' as blob", "2 as part", "3 as node", "4 as label", "true as keep", "'y' as open", "5 as __doc")
+    return df.selectExpr("*", "1 as k_doc", "'x' as blob", "2 as part", "3 as node", "4 as label", "true as keep", "'y' as open", "5 as __doc", "6 as __gone", "7 as __bad")
 
 
 def test_hard_rows(spark, tmp_path):
@@ -100,7 +94,7 @@ def test_hard_rows(spark, tmp_path):
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, now, folder)
-        assert out.columns == docs.columns and out.schema == docs.schema, name
+        assert out.dtypes == docs.dtypes, name
         out.write.parquet(f"{folder}/{name}")
         now = spark.read.parquet(f"{folder}/{name}")
         kept.append(sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=str))
