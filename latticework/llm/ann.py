@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mapped, stored
+from .common import drop_stored, mapped, maybe_broadcast, stored
 
 GROUP_ROWS = 4096
 QUERY_ROWS = 16384
@@ -220,6 +220,9 @@ class Search:
         chunks = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
         group = F.pmod(F.xxhash64("t", "bucket"), F.lit(self.blocks)).cast("int")
         self.groups = stored(sizes.unionByName(everywhere).select("t", "bucket", "n", chunks.alias("chunks"), group.alias("g")), "buckets")
+        self.n_groups = self.groups.count()
+        # Probes are worked out for few rows at great length: as many tasks as a shuffle has.
+        self.tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def _block(self) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(self.blocks))
@@ -249,7 +252,12 @@ class Search:
                         q, key = hashes.probes(x[start : start + VISIT_ROWS], t, hashes.w / 2, 2.0, p.start)
                         yield _visit_rows(t, key, ids[start + q])
 
-        return mapped(self.asked.select("id", "v"), run, "t int, bucket long, id long")
+        return self._met(mapped(self.asked.select("id", "v").repartition(self.tasks), run, "t int, bucket long, id long"))
+
+    def _met(self, visits: DataFrame) -> DataFrame:
+        """Visits to buckets that have rows, and those to all rows."""
+        known = maybe_broadcast(self.groups.select("t", "bucket", F.lit(True).alias("there")), self.n_groups, 32)
+        return visits.join(known, ["t", "bucket"], "left").where((F.col("t") == ALL) | F.col("there")).drop("there")
 
     def visits(self, first: DataFrame) -> DataFrame:
         """(t, bucket, id): the buckets that give each query its share, or a row under `ALL` where they don't."""
@@ -281,12 +289,12 @@ class Search:
                 everywhere = np.concatenate((everywhere, open_))
                 yield _visit_rows(ALL, np.zeros(len(everywhere), dtype=np.int64), ids[everywhere])
 
-        return mapped(asking, run, "t int, bucket long, id long")
+        return self._met(mapped(asking.repartition(self.tasks), run, "t int, bucket long, id long"))
 
     def reached(self, visit: DataFrame, held: DataFrame) -> DataFrame:
         """(id, best): the k nearest of the rows of `held` in the buckets that each query visits."""
         queries_in = max(1, -(-self.n_asked // QUERY_ROWS))
-        groups = self.groups.drop("n")
+        groups = maybe_broadcast(self.groups.drop("n"), self.n_groups, 40)
         where = visit.join(groups, ["t", "bucket"]).select("t", "g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "bucket", "id")
         asked = where.groupBy("t", "g", "chunk", "id").agg(F.collect_list("bucket").alias("buckets")).join(self.asked.select("id", "v"), "id")
         asked = asked.select("t", "g", "chunk", F.pmod(F.xxhash64("id"), F.lit(queries_in)).cast("int").alias("part"), "id", "v", "buckets")
