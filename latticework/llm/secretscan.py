@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import BROADCAST_BYTES
 from .common import apart, maybe_broadcast, shared_dir
 
 
@@ -61,6 +62,8 @@ RULES = (
     Rule("token_assignment", 2, rf"(?i:\b[0-9a-z_]*(?:token|secret|api_key|apikey|access_key)){_ASSIGNED}[0-9A-Za-z_+/=-]{{16,}}", ("token", "secret", "api_key", "apikey", "access_key")),
     Rule("url_credentials", 1, r"\b[a-z][0-9a-z+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", ("://",)),
 )
+#: Blobs with a few rule names each that are sent to every executor at most.
+_MOST = BROADCAST_BYTES // 256
 #: What a secret is replaced by.
 MASK = "[SECRET]"
 
@@ -118,26 +121,37 @@ class Ledger:
         addressed = addressed.select("path", F.unhex(F.sha2(text, 256)).alias("blob"), "text")
         known = self.versions.select("blob").distinct()
         n = known.count()
-        if n:
-            old = maybe_broadcast(known.withColumn("old", F.lit(True)), n, 64)
+        if 0 < n <= _MOST:
+            old = F.broadcast(known.withColumn("old", F.lit(True)))
             addressed = addressed.join(old, "blob", "left").select("path", "blob", F.when(F.col("old").isNull(), text).alias("text"))
+        elif n:
+            # Texts are not shuffled to learn whether they are known; where too much is new as well, known ones are kept again.
+            new = addressed.select("blob").distinct().join(known, "blob", "left_anti")
+            if new.count() <= _MOST:
+                addressed = addressed.join(F.broadcast(new.withColumn("new", F.lit(True))), "blob", "left").select("path", "blob", F.when(F.col("new"), text).alias("text"))
         self._append(addressed, "versions")
         if not rules:
             return 0
         keys = F.array(*[F.lit(r.key) for r in rules])
         blobs = self.versions.select("blob").distinct()
         if self.scanned.isEmpty():
-            open_, work = blobs.withColumn("open", keys), self.stored.where("text is not null").withColumn("open", keys)
+            open_, work, later = blobs.withColumn("open", keys), self.stored.where("text is not null").withColumn("open", keys), False
         else:
             done = self.scanned.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
             left = F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>")))
             open_ = blobs.join(done, "blob", "left").select("blob", left.alias("open")).where(F.size("open") > 0)
-            work = self.stored.where("text is not null").join(maybe_broadcast(open_, open_.count(), 256), "blob")
+            n_open, work = open_.count(), self.stored.where("text is not null")
+            later = n_open > _MOST
+            # Few open blobs choose their texts; of many, texts with an anchor are chosen first, so that no others are shuffled.
+            work = work.withColumn("open", keys) if later else work.join(F.broadcast(open_), "blob")
         low = F.lower(text)
         held = F.transform(F.array(low), lambda t: F.array_compact(F.array(*[F.when(F.array_contains("open", r.key) & _any(t, r.anchors), F.lit(r.key)) for r in rules])))
         # One text per blob, of those that hold an anchor.
         work = work.select("blob", "text", F.get(held, F.lit(0)).alias("held")).where(F.size("held") > 0)
-        work = work.groupBy("blob").agg(F.first("text").alias("text"), F.first("held").alias("held")).select("blob", "text", F.explode("held").alias("rule"))
+        work = work.groupBy("blob").agg(F.first("text").alias("text"), F.first("held").alias("held"))
+        if later:
+            work = work.join(open_, "blob").withColumn("held", F.array_intersect("held", "open"))
+        work = work.select("blob", "text", F.explode("held").alias("rule"))
         matches = F.coalesce(*[F.when(F.col("rule") == r.key, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))) for r in rules])
         hits = work.select("blob", "rule", F.explode(matches).alias("secret")).groupBy("blob", "rule", "secret").agg(F.count(F.lit(1)).alias("n_hits"))
         # Findings first: a pair counts as scanned only once its findings are stored.

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import duckdb
+import pytest
 
 from latticework.llm import secretscan as ss
 
@@ -72,7 +73,10 @@ def test_a_scan_that_was_cut_off(spark, tmp_path):
         assert ledger.scan(rows) == 0
 
 
-def test_increments_give_the_same(spark):
+@pytest.mark.parametrize("most", [100_000, 30, 5])
+def test_increments_give_the_same(spark, monkeypatch, most):
+    """Also where known, new or open blobs are too many to be sent to every executor."""
+    monkeypatch.setattr(ss, "_MOST", most)
     rows = [(i, f"n{i} {KEY if i % 3 == 0 else ''} DB_PASSWORD={'abcd1234' if i % 4 == 0 else ''}") for i in range(40)] + [(7, None), (None, f"z {KEY}"), (3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     earlier = tuple(r for r in ss.RULES if r.version == 1)
