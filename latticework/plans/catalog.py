@@ -187,7 +187,8 @@ _MOST_ROUNDS = 80
 _CHANGES = " union all ".join(f"select {i} as i, sum(abs(a.s - b.s)) as change from r{i} a join r{i - 1} b using (id)" for i in range(1, _MOST_ROUNDS + 1))
 _RANKS = " union all ".join(f"select {i} as i, id, s from r{i}" for i in range(1, _MOST_ROUNDS + 1))
 # The rounds that power iteration needs: the first whose change is below n * 1e-6.
-_add("hotpaths_pagerank", "corpus", lambda g: ranking.hot_paths(g, 20, "pagerank").select("id", "rank", F.round("score", 9).alias("score")), f"{_pagerank_sql(_MOST_ROUNDS)}, last as (select min(i) as i from ({_CHANGES}), k where change < n * 1e-6), ranks as (select id, s, ord from ({_RANKS}) join last using (i) join nodes using (id)) select id, rank, round(s, 9) as score from (select *, row_number() over (order by round(s, 12) desc, ord) as rank from ranks) where rank <= 20")
+# Scores are rounded as hot_paths rounds them for ties: some end on a 5 in the tenth place, where the last bits would decide.
+_add("hotpaths_pagerank", "corpus", lambda g: ranking.hot_paths(g, 20, "pagerank").select("id", "rank", F.round("score", 12).alias("score")), f"{_pagerank_sql(_MOST_ROUNDS)}, last as (select min(i) as i from ({_CHANGES}), k where change < n * 1e-6), ranks as (select id, s, ord from ({_RANKS}) join last using (i) join nodes using (id)) select id, rank, round(s, 12) as score from (select *, row_number() over (order by round(s, 12) desc, ord) as rank from ranks) where rank <= 20")
 # All simple paths, of which the shortest between two nodes count.
 _BETWEEN = "l as (select distinct source, target from edges where source in (select id from nodes) and target in (select id from nodes) and source <> target), w as (select source as s, target as v, [source, target] as path from l union all select w.s, l.target, list_append(w.path, l.target) from w join l on l.source = w.v where not list_contains(w.path, l.target)), m as (select s, v, min(len(path)) as d from w group by all), sp as (select w.* from w join m on w.s = m.s and w.v = m.v and len(path) = d), c as (select s, v, count(*) as n from sp group by all), b as (select id, sum(share) as share from (select unnest(path[2:-2]) as id, 1.0::double / n as share from sp join c using (s, v)) group by id), k as (select count(*) as n from nodes), bt as (select nodes.id, ord, coalesce(share, 0) / ((n - 1) * (n - 2)) as score from nodes left join b using (id), k)"
 _add("betweenness", "corpus", lambda g: iterative.betweenness(g).select("id", F.round("score", 9).alias("score")), f"{_BETWEEN} select id, round(score, 9) as score from bt", True)
