@@ -47,6 +47,27 @@ def test_search_by_rows_index_and_stored_index(library, monkeypatch, tmp_path):
     assert weights["n1", "parse"] == 3 + 1.5 and weights["n3", "handle"] == 3 + 1.5 and weights["n1", "request"] == 1 and weights["n4", "parse json"] == 1
 
 
+def test_ngrams_are_summed_within_rows(spark, library, monkeypatch):
+    plan = search.ngram_index(library)._jdf.queryExecution().executedPlan().toString()
+    # No aggregate over n-grams, which are many times the texts.
+    assert "MapInArrow" in plan and "keys=[id" not in plan.split("MapInArrow")[0] and "sum(" not in plan.split("MapInArrow")[0]
+    monkeypatch.setattr(search, "TASK_GRAMS", 8)
+    assert search.distinct_ngrams(library, 50).rdd.getNumPartitions() == 7
+    stats = search.corpus_stats(library).first()
+    rows = search.ngram_index(library).collect()
+    assert stats["n_docs"] == 4 and stats["n_ngrams"] == len({r["ngram"] for r in rows}) and stats["avg_len"] == len(rows) / 4
+
+
+def test_ngrams_of_odd_texts(spark):
+    texts = ["", " ", "a b", "The quick, BROWN\u212aiwi \u0130stanbul x\u00e9y\x0bz zz", "aa aa aa aa", "one_two three"]
+    g = graph(spark, [(f"t{k}", "same thing_x", {"docstring": t, "signature": "f(same thing)"}) for k, t in enumerate(texts)], [("t0", "t1")])
+    want = {r["id"]: list(r["n"]) for r in g.nodes.select("id", text.extract_ngrams(F.col("docstring")).alias("n")).collect()}
+    got = {r["id"]: search._doc_grams(r["doc"], (1, 2, 3)) for r in search._own(g).collect()}
+    assert got == want
+    lengths = {r["id"]: r["dl"] for r in search._profiles(g, [], 3).collect()}
+    assert lengths == {r["id"]: r["count"] for r in search.ngram_index(g).groupBy("id").count().collect()}
+
+
 def test_hybrid(library):
     pure = {r["id"]: r for r in search.hybrid_search(library, "parse json", alpha=1.0).collect()}
     assert all(r["score"] == pytest.approx(r["ngram_score"]) for r in pure.values())
