@@ -6,6 +6,7 @@ import random
 import pytest
 from graphs import graph, hot
 
+from latticework import storage
 from latticework.model import Graph
 from latticework.operators import iterative, ranking
 
@@ -63,6 +64,14 @@ def test_centralities(spark, seed):
     assert ranks == pytest.approx(brute_pagerank(n, edges), abs=1e-5)
 
 
+def test_links_are_grouped_in_tasks_of_known_size(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 8)
+    g, _, edges, all_edges = random_graph(spark, 1)
+    links = g.links()
+    assert links.rdd.getNumPartitions() == -(-len(all_edges) // 8)
+    assert {tuple(r) for r in links.collect()} == edges and links.count() == len(edges)
+
+
 def test_reachable_through_cycles_and_dangling_ids(spark):
     g = graph(spark, [("a", "a"), ("b", "b"), ("c", "c"), ("d", "d")], [("a", "b"), ("b", "a"), ("b", "ghost"), ("ghost", "c"), ("c", "c")])
     assert {r["id"] for r in iterative.reachable(g, "a").collect()} == {"b", "c"}
