@@ -64,6 +64,21 @@ def test_centralities(spark, seed):
     assert ranks == pytest.approx(brute_pagerank(n, edges), abs=1e-5)
 
 
+def test_betweenness_beyond_what_workers_hold(spark, monkeypatch):
+    g, n, edges, _ = random_graph(spark, 3)
+    held = {r["id"]: r["score"] for r in iterative.betweenness(g).collect()}
+    monkeypatch.setattr(iterative, "LINK_BYTES", 0)
+    tables = {r["id"]: r["score"] for r in iterative.betweenness(g).collect()}
+    assert held == pytest.approx(brute_betweenness(n, edges))
+    assert tables == pytest.approx(held)
+
+
+def test_betweenness_shuffles_scores_alone(spark):
+    g, _, _, _ = random_graph(spark, 1)
+    plan = iterative.betweenness(g)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "dependency-" not in plan and "level-" not in plan
+
+
 def test_links_are_grouped_in_tasks_of_known_size(spark, monkeypatch):
     monkeypatch.setattr(storage, "TASK_ROWS", 8)
     g, _, edges, all_edges = random_graph(spark, 1)
