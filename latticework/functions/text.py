@@ -57,7 +57,8 @@ def signature_tokens(signature: Column) -> Column:
 def snippet(node: dict[str, Column] | None = None) -> Column:
     """signature | first line of the docstring (cut at 150), or kind: name where both are empty."""
     c = node or {k: F.col(k) for k in ("signature", "docstring", "kind", "name")}
-    doc = F.substring_index(F.regexp_replace(c["docstring"], r"^\s+|\s+$", ""), "\n", 1)
+    # \s has vertical tabs too, and $ also matches before a last line separator.
+    doc = F.substring_index(F.regexp_replace(c["docstring"], r"^[\t\n\f\r ]+|[\t\n\f\r ]+\z", ""), "\n", 1)
     doc = F.when(F.length(doc) > 150, F.concat(F.substring(doc, 1, 147), F.lit("..."))).otherwise(doc)
     # An absent part is null, which concat_ws leaves out; a docstring of white space is a part, though empty.
     parts = F.concat_ws(" | ", F.nullif(c["signature"], F.lit("")), F.when(c["docstring"] != "", doc))

@@ -52,3 +52,15 @@ def test_query(spark, sf_dir, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+
+
+def documents(spark, folder, rows):
+    """A folder with a table of documents (doc_id, text)."""
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/parts")
+    next(Path(folder, "parts").glob("*.parquet")).rename(Path(folder, "documents.parquet"))
+    return str(folder)
+
+
+def test_snippets_of_odd_texts(spark, tmp_path):
+    texts = ["", "  \n ", "abc \u2028", "abc \u0085", "a \r\u2029", "\x0babc", "abc\x0b ", " \x0b\nabc", "plain\nlines\n"]
+    test_query(spark, documents(spark, tmp_path, enumerate(texts)), "snippets")
