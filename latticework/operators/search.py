@@ -291,14 +291,14 @@ def search(g: Graph, query: str, top_k: int = 10, index: DataFrame | Index | Non
     return found.select("id", "name", "score", "matched", text.snippet().alias("snippet"), "ord").orderBy(*_best())
 
 
-def hybrid_search(g: Graph, query: str, top_k: int = 10, alpha: float = 0.5, index: DataFrame | Index | None = None) -> DataFrame:
-    """alpha * BM25 + (1 - alpha) * similarity to the best BM25 hit, each scaled to 0..1: id, score, ngram_score, sim_score, matched, features, ord."""
+def hybrid_search(g: Graph, query: str, top_k: int = 10, alpha: float = 0.5, index: DataFrame | Index | None = None, equal: float = 1.0) -> DataFrame:
+    """alpha * BM25 + (1 - alpha) * similarity to the best BM25 hit, each scaled to 0..1 (`equal` if all are): id, score, ngram_score, sim_score, matched, features, ord."""
     # At most 2 * top_k rows, read several times.
     grams = stored(search(g, query, 2 * top_k, index), "search-hits")
     anchor = grams.orderBy(*_best()).limit(1).select("id")
     alike = similarity.similar_to(g, anchor, 2 * top_k, "ast")
-    a = min_max(grams.select("id", "score", "matched"), "score", "ngram_score").drop("score")
-    b = min_max(alike.select("id", "score", F.col("matched").alias("features")), "score", "sim_score").drop("score")
+    a = min_max(grams.select("id", "score", "matched"), "score", "ngram_score", equal).drop("score")
+    b = min_max(alike.select("id", "score", F.col("matched").alias("features")), "score", "sim_score", equal).drop("score")
     none = F.array().cast("array<string>")
     both = a.join(b, "id", "full").select(
         "id", F.coalesce("ngram_score", F.lit(0.0)).alias("ngram_score"), F.coalesce("sim_score", F.lit(0.0)).alias("sim_score"),

@@ -63,8 +63,8 @@ def cross_repo_matrix(g: Graph) -> DataFrame:
     return cross_repo_edges(g).groupBy("source_repo", "target_repo").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-def min_max(df: DataFrame, column: str, name: str) -> DataFrame:
-    """`df` with its column scaled to 0..1 as `name`; all 1 where the values are equal."""
+def min_max(df: DataFrame, column: str, name: str, equal: float = 1.0) -> DataFrame:
+    """`df` with its column scaled to 0..1 as `name`; all `equal` where the values are equal."""
     low, high = F.min(column).alias("_low"), F.max(column).alias("_high")
-    scaled = F.when(F.col("_high") == F.col("_low"), F.lit(1.0)).otherwise((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    scaled = F.when(F.col("_high") == F.col("_low"), F.lit(equal)).otherwise((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")))
     return df.crossJoin(F.broadcast(df.agg(low, high))).withColumn(name, scaled).drop("_low", "_high")

@@ -64,3 +64,7 @@ def documents(spark, folder, rows):
 def test_snippets_of_odd_texts(spark, tmp_path):
     texts = ["", "  \n ", "abc \u2028", "abc \u0085", "a \r\u2029", "\x0babc", "abc\x0b ", " \x0b\nabc", "plain\nlines\n"]
     test_query(spark, documents(spark, tmp_path, enumerate(texts)), "snippets")
+
+
+def test_hybrid_of_equal_similarities(spark, tmp_path):
+    test_query(spark, documents(spark, tmp_path, ((i, " ".join(["released license tion", *("x" * k for k in range(2, 2 + (i - 101) % 200))])) for i in range(200))), "hybrid_half")
