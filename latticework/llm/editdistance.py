@@ -11,10 +11,10 @@ import numpy as np
 
 _U = np.uint64
 _ONE, _TOP = _U(1), _U(63)
-#: Patterns of more words go one by one, as Python's long integers.
-WIDEST = 8
-#: Pairs are worked out together with those of a like bound.
-BANDS = (24, 48, 1 << 60)
+#: Pairs are worked out together with those of a like number of words and a like bound.
+WIDTHS, BANDS = (1, 2, 4, 8, 16, 32, 64), (24, 48, 96, 192, 1 << 60)
+#: Patterns of more words than `WIDE`, if they are fewer than `MANY` together, go one by one, as Python's long integers; so do those of more than `WIDTHS`.
+WIDE, MANY = 8, 64
 #: Bytes of a group's table of character masks.
 TABLE = 64 << 20
 
@@ -38,21 +38,34 @@ def _same(a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray
     return out
 
 
-def _one(pattern: np.ndarray, text: np.ndarray) -> int:
-    m = len(pattern)
+def _one(pattern: np.ndarray, text: np.ndarray, allowed: int) -> int:
+    """The distance if it is within `allowed`, else more than that."""
+    m, n = len(pattern), len(text)
     masks: dict[int, int] = {}
-    for i, c in enumerate(pattern.tolist()):
-        masks[c] = masks.get(c, 0) | 1 << i
-    every, top, score = (1 << m) - 1, 1 << (m - 1), m
-    plus, minus = every, 0
-    for c in text.tolist():
-        eq = masks.get(c, 0)
-        vertical = eq | minus
-        across = (((eq & plus) + plus) ^ plus) | eq
-        up, down = (minus | ~(across | plus)) & every, plus & across
-        score += bool(up & top) - bool(down & top)
-        up, down = up << 1 | 1, down << 1
-        plus, minus = (down | ~(vertical | up)) & every, up & vertical & every
+    for word in range(0, m, 4096):
+        part: dict[int, int] = {}
+        for i, c in enumerate(pattern[word : word + 4096].tolist()):
+            part[c] = part.get(c, 0) | 1 << i
+        for c, bits in part.items():
+            masks[c] = masks.get(c, 0) | bits << word
+    # Rows `first` to `last` of the pattern are worked out, for a stretch of the text at a time.
+    stretch, first, last = max(allowed, 1024), 0, 0
+    plus = minus = score = 0
+    for start in range(0, n, stretch):
+        skip, reach = max(0, start - allowed) - first, min(m, start + stretch + allowed) - last
+        first, last, score = first + skip, last + reach, score + reach
+        width = last - first
+        every, top = (1 << width) - 1, 1 << (width - 1)
+        plus, minus = plus >> skip | (every >> (width - reach)) << (width - reach), minus >> skip
+        near = {c: bits >> first & every for c, bits in masks.items()}
+        for c in text[start : start + stretch].tolist():
+            eq = near.get(c, 0)
+            vertical = eq | minus
+            across = (((eq & plus) + plus) ^ plus) | eq
+            up, down = (minus | ~(across | plus)) & every, plus & across
+            score += bool(up & top) - bool(down & top)
+            up, down = up << 1 | 1, down << 1
+            plus, minus = (down | ~(vertical | up)) & every, up & vertical & every
     return score
 
 
@@ -93,7 +106,7 @@ def _group(codes: np.ndarray, at_p: np.ndarray, size_p: np.ndarray, at_t: np.nda
             done = slice(left, live)
             out[done] = score[done]
             # Back from the lowest row to the pattern's last.
-            for w in range(low + 1):
+            for w in range(int(last_word[done].min()), low + 1):
                 rest = np.where(last_word[done] == w, above[done], np.where(last_word[done] < w, ~_U(0), _U(0)))
                 out[done] += np.bitwise_count(minus[w, done] & rest).astype(np.int64) - np.bitwise_count(plus[w, done] & rest).astype(np.int64)
             live = left
@@ -149,17 +162,21 @@ def within(left: list[str], right: list[str], allowed: np.ndarray) -> np.ndarray
     open_[some] = _letters_differ(codes, at_p[some], small[some], at_t[some], large[some], letters) <= allowed[some]
     words = (small + 63) >> 6
     low = 0
-    for width in (1, 2, 4, WIDEST):
+    single = [np.flatnonzero(open_ & (words > WIDTHS[-1]))]
+    for width in WIDTHS:
         narrow = -1
         for band in BANDS if width > 1 else BANDS[-1:]:
             mine = np.flatnonzero(open_ & (words > low) & (words <= width) & (allowed > narrow) & (allowed <= band))
             narrow = band
+            if width > WIDE and len(mine) < MANY:
+                single.append(mine)
+                continue
             mine = mine[np.argsort(-large[mine], kind="stable")]
             most = max(1, TABLE // (8 * width * max(letters, 1)))
             for start in range(0, len(mine), most):
                 k = mine[start : start + most]
                 result[k] = _group(codes, at_p[k], small[k], at_t[k], large[k], allowed[k], letters, width) <= allowed[k]
         low = width
-    for k in np.flatnonzero(open_ & (words > WIDEST)).tolist():
-        result[k] = _one(codes[at_p[k] : at_p[k] + small[k]], codes[at_t[k] : at_t[k] + large[k]]) <= allowed[k]
+    for k in np.concatenate(single).tolist():
+        result[k] = _one(codes[at_p[k] : at_p[k] + small[k]], codes[at_t[k] : at_t[k] + large[k]], int(allowed[k])) <= allowed[k]
     return result

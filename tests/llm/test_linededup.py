@@ -225,6 +225,32 @@ def test_edit_distances_against_the_table():
         assert np.array_equal(editdistance.within(right, left, allowed), true <= allowed)
 
 
+def test_long_lines_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for edits in (0, 20, 69, 70, 71, 72, 150) * 20:
+        a = rng.choice(list("abcdé 日"), 700)
+        b = a.copy()
+        # Letters that the other side doesn't have: the distance is their number.
+        b[rng.choice(700, edits, replace=False)] = "x"
+        pairs.append(("".join(a), "".join(b), edits))
+    left, right, true = zip(*pairs)
+    monkeypatch.setattr(editdistance, "_one", None)
+    monkeypatch.setattr(editdistance, "_letters_differ", lambda *_: 0)
+    assert np.array_equal(editdistance.within(left, right, np.full(len(true), 70)), np.array(true) <= 70)
+
+
+@pytest.mark.parametrize("cut", [0, 40, 400])
+def test_very_long_lines_one_by_one(cut):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 9, 6000)
+    b = np.delete(a, np.s_[100 : 100 + cut])
+    b[rng.choice(np.arange(200, len(b)), 50, replace=False)] = 9
+    true = 50 + cut
+    for allowed in (true - 1, true, true + 1, 2000):
+        assert (editdistance._one(b, a, allowed) <= allowed) == (true <= allowed)
+
+
 def test_equal_lines_of_any_length(spark):
     """Short lines and lines without spaces are kept once if they are equal; near matching leaves them alone."""
     lines = ["All rights reserved", "of edti oner", "ok", "这是一个没有空格的句子它有二十多个字符长度", "Home"]
